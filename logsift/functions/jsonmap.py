@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logsift.functions.settle import settled
+
 _END = "\x01end"
 
 
@@ -22,7 +24,7 @@ def with_json(df: DataFrame, text: str, out: str) -> DataFrame:
     whole = (F.size(F.col(pair)) == 2) & F.map_contains_key(last, _END)
     # Rebuilding from entries keeps the last of repeated members.
     members = F.when(whole, F.map_from_entries(F.map_entries(first)))
-    return df.withColumn(pair, parsed).withColumn(out, members).drop(pair)
+    return df.withColumn(pair, settled(parsed)).withColumn(out, members).drop(pair)
 
 
 def json_types(members: Column) -> Column:

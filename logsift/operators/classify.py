@@ -11,6 +11,7 @@ from logsift.fixed import (
     REASON_PARSER_KNOWN, SUGGEST_THRESHOLD, SUPPORTED_FORMATS, WINDOWS_NAMESPACE,
 )
 from logsift.functions.arrays import kept
+from logsift.functions.settle import settled
 from logsift.functions.text import SPACE, WORD, matches, strip
 from logsift.operators.formats import SYSLOG_START
 from logsift.operators.parse import extract_pairs_map
@@ -77,7 +78,7 @@ def detect_format(df: DataFrame, raw: str = "raw_event", out: str = "format_resu
     """Add the struct `format_result`: what the text itself says about its format."""
     prepared, added = with_readings(df, raw)
     empty = F.coalesce(F.length(F.col(TEXT)), F.lit(0)) == 0
-    guessed = prepared.withColumn("_cands", _check_candidates())
+    guessed = prepared.withColumn("_cands", settled(_check_candidates()))
     return guessed.withColumn(out, _check_struct(F.col("_cands"), empty, None)).drop(*added, "_cands")
 
 
@@ -90,7 +91,7 @@ def check_format(df: DataFrame, raw: str = "raw_event", out: str = "format_resul
     empty = F.coalesce(F.length(F.col(TEXT)), F.lit(0)) == 0
     lower = F.lower(F.col("parser"))
     known = F.when(lower.isin(*SUPPORTED_FORMATS), lower)
-    guessed = prepared.withColumn("_cands", F.when(known.isNull(), _check_candidates()))
+    guessed = prepared.withColumn("_cands", settled(F.when(known.isNull(), _check_candidates())))
     return (
         guessed.withColumn(out, _check_struct(F.col("_cands"), empty, known))
         .withColumn("extracted_data", extract_pairs_map(F.col(TEXT))).drop(*added, "_cands")
@@ -160,8 +161,8 @@ def classify_format(df: DataFrame, raw: str = "raw_event", out: str = "classific
     ])
     if only is not None:
         keyed, cands = F.when(F.col("_only"), keyed), F.when(F.col("_only"), cands)
-    ranked = prepared.withColumn("_keyed", keyed).withColumn("_cands", cands).withColumn(
-        "_best", _first_best(F.col("_cands")))
+    ranked = prepared.withColumn("_keyed", settled(keyed)).withColumn("_cands", settled(cands)).withColumn(
+        "_best", settled(_first_best(F.col("_cands"))))
     best, found = F.col("_best"), F.col("_cands")
     rivals = F.filter(found, lambda c: (c["confidence"] >= best["confidence"] - F.lit(0.1))
                       & (c["format"] != best["format"]))
@@ -207,7 +208,7 @@ def suggest_mappings(df: DataFrame, raw: str = "raw_event", hint: str | None = N
     """
     prepared, added = with_readings(df, raw) if hint else (df, [])
     keys = mapping_keys(F.col(raw), F.col(hint), F.col(JSON)) if hint else mapping_keys(F.col(raw))
-    keyed = prepared.withColumn("_keys", keys)
+    keyed = prepared.withColumn("_keys", settled(keys))
 
     # Containing covers equality, so the first key with any word is the one to report.
     for target, words in MAPPING_TARGETS.items():

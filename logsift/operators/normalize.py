@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logsift.fixed import FALL_THROUGH_FIELDS, FIELD_ALIASES, RESERVED_KEYS
 from logsift.functions.address import is_ip
+from logsift.functions.settle import settled
 from logsift.functions.text import is_blank, strip
 
 KNOWN_KEYS = sorted({*RESERVED_KEYS, *(k for keys in FIELD_ALIASES.values() for k in keys)})
@@ -65,9 +66,9 @@ def normalize(df: DataFrame, extracted: str = "extracted_data") -> DataFrame:
     field is read from are settled in one projection and the values in a second one.
     """
     parsed, types = F.col("parsed"), F.col("parsed_types")
-    keys = df.withColumn("_k", F.struct(*[
+    keys = df.withColumn("_k", settled(F.struct(*[
         _first_present(parsed, names).alias(field) for field, names in FIELD_ALIASES.items()
-    ]))
+    ])))
 
     def pick(field: str) -> tuple[Column, Column]:
         key = F.col(f"_k.{field}")
@@ -153,7 +154,7 @@ def check_events(df: DataFrame) -> DataFrame:
         wrong = F.col("confidence_text").isNotNull() & (number.isNull() | F.isnan(number) | ~number.between(0, 100))
         reasons.append(F.when(wrong, F.lit("confidence: not a number from 0 to 100")))
         out = out.withColumn("confidence", number)
-    out = out.withColumn("reject_reason", F.coalesce(*reasons))
+    out = out.withColumn("reject_reason", settled(F.coalesce(*reasons)))
     for field in ("source_ip", "destination_ip"):
         out = out.withColumn(field, F.when(~is_blank(F.col(field)) & (F.col(field) != "-"), F.col(field)))
     return out.drop("_wrong", "confidence_text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logsift.functions.settle import settled
 from logsift.functions.text import identifier_pairs, is_blank, strip, to_map
 from logsift.functions.xmlmap import windows_map, xml_map
 from logsift.operators.formats import (
@@ -33,7 +34,7 @@ def _with_view(df: DataFrame, registry: FormatRegistry, raw: str) -> tuple[DataF
         _XML: xml_map(F.when(xml, text)) if "xml" in names else none("map<string,string>"),
         _WINDOWS: windows_map(F.when(windows, text)) if "windows_event" in names else none("map<string,string>"),
         _CSV: rows,
-    }).withColumns({_HEAD: csv_row(F.col(_CSV), 1), _NEXT: csv_row(F.col(_CSV), 2)})
+    }).withColumns({_HEAD: settled(csv_row(F.col(_CSV), 1)), _NEXT: settled(csv_row(F.col(_CSV), 2))})
     view = LogView(text, *[F.col(c) for c in (JSON, _XML, _WINDOWS, _HEAD, _NEXT)])
     return df, view, [*added, _XML, _WINDOWS, _CSV, _HEAD, _NEXT]
 
@@ -49,7 +50,7 @@ def detect_parser(df: DataFrame, registry: FormatRegistry | None = None, raw: st
     """Add `parser`: the first enabled format, by (priority, name), that recognises the log."""
     registry = registry or default_registry()
     out, view, extra = _with_view(df, registry, raw)
-    return out.withColumn("parser", _choose(registry, view)).drop(*extra)
+    return out.withColumn("parser", settled(_choose(registry, view))).drop(*extra)
 
 
 def extract_pairs_map(raw: Column) -> Column:
@@ -65,7 +66,7 @@ def parse_logs(df: DataFrame, registry: FormatRegistry | None = None, raw: str =
     """
     registry = registry or default_registry()
     out, view, extra = _with_view(df, registry, raw)
-    out = out.withColumn("parser", _choose(registry, view))
+    out = out.withColumn("parser", settled(_choose(registry, view)))
 
     text_map = "map<string,string>"
     result = None
@@ -78,7 +79,7 @@ def parse_logs(df: DataFrame, registry: FormatRegistry | None = None, raw: str =
             version = F.when(test, spec.version) if version is None else version.when(test, spec.version)
     nothing = parsed(F.lit(None), F.lit(None))
     result = nothing if result is None else result.otherwise(nothing)
-    out = out.withColumn(_PARSED, result)
+    out = out.withColumn(_PARSED, settled(result))
 
     got = F.col(_PARSED)
     known, failed = F.col("parser").isNotNull(), got["error"].isNotNull()

@@ -10,6 +10,7 @@ from logsift.fixed import (
 )
 from logsift.functions.address import is_ip
 from logsift.functions.arrays import kept, kept_strings
+from logsift.functions.settle import settled
 from logsift.functions.text import is_blank
 
 PORTS = ("source_port", "destination_port")
@@ -56,11 +57,11 @@ def quality(df: DataFrame) -> DataFrame:
     ])
     consistency = F.when(applying == 0, F.lit(100.0)).otherwise(_percent(passing, F.nullif(applying, F.lit(0))))
 
-    parts = df.withColumn("_q", F.struct(
+    parts = df.withColumn("_q", settled(F.struct(
         complete.alias("completeness"), validity.alias("validity"), consistency.alias("consistency"),
         _missing(REQUIRED_FIELDS).alias("required"), _missing(IMPORTANT_FIELDS).alias("important"),
         _missing(QUALITY_FIELDS).alias("all"),
-    ))
+    )))
     q = lambda name: F.col(f"_q.{name}")
     w = QUALITY_WEIGHTS
     score = F.rint(q("completeness") * w["completeness"] + q("validity") * w["validity"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logsift.functions.settle import settled
 from logsift.functions.text import is_blank
 from logsift.operators.classify import check_format, unknown_report
 from logsift.operators.formats import FormatRegistry
@@ -41,7 +42,7 @@ def process_logs(logs: DataFrame, registry: FormatRegistry | None = None, id_par
         .withColumn("quality_status", F.col("quality.status"))
         .withColumn("format", F.col("format_result.format"))
         .withColumn("event_ts", event_time(F.col("timestamp")))
-        .withColumn("reject_reason", F.when(F.col("_empty"), EMPTY_LOG).otherwise(F.col("reject_reason")))
+        .withColumn("reject_reason", settled(F.when(F.col("_empty"), EMPTY_LOG).otherwise(F.col("reject_reason"))))
     )
     out = add_hashes(out)
     stored = [f for f in EVENT_SCHEMA.fields if f.name in out.columns]

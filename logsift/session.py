@@ -7,10 +7,13 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Repeated keys keep their last value and times are read as UTC; the rest is Spark's default.
+# Repeated keys keep their last value and times are read as UTC. Constraint propagation compares every
+# computed column with every other one over many projections: planning a filter on a parsed event
+# would take minutes, while nothing here depends on the filters it could add.
 REQUIRED = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
