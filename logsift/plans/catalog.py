@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,13 @@ from logsift.operators.anomaly import AnomalySettings, rate_anomaly
 from logsift.operators.formats import default_registry
 from logsift.plans import checks, derive
 from logsift.plans.pipeline import accepted, process_logs
-from logsift.session import configure
+from logsift.session import checkpoint_root, configure
+from logsift.sinks.forward import forward
+from logsift.sinks.tables import write_events
+from logsift.sources import files
+from logsift.sources.tables import read_events
+from logsift.streaming.pipeline import start_pipeline
+from logsift.streaming.stateful import start_rate_anomaly, streaming_chain, streaming_rules
 
 # Thresholds under which the sparse events table has rows on both sides.
 LOGIN, LOGIN_S, SPIKE, SPIKE_S, BUCKET, Z = 3, 3 * 86400, 12, 3 * 86400, 3600, 2.5
@@ -442,13 +449,13 @@ def severity_counts(spark, d):
 
 @query("risk_matrix", f"""WITH s AS (SELECT unnest(['critical','HIGH','medium','low',NULL]) AS severity), ev AS (SELECT event_id, event_type, value FROM events) SELECT event_id, severity,
   CAST(least(100, CASE lower(severity) WHEN 'critical' THEN 50 WHEN 'high' THEN 30 WHEN 'medium' THEN 15 WHEN 'low' THEN 5 ELSE 0 END + CASE WHEN event_type = 'error' THEN 55 WHEN event_type = 'view' THEN 60 ELSE 0 END
-  + CASE WHEN value > 20 THEN CAST(trunc(round(least(1.0, value / 100.0), 2) * 30) AS INT) ELSE 0 END) AS INT) AS risk_score FROM ev, s""")
+  + CASE WHEN value > 20 THEN CAST(trunc(least(1.0::DOUBLE, value / 100.0::DOUBLE) * 30) AS INT) ELSE 0 END) AS INT) AS risk_score FROM ev, s""")
 def risk_matrix(spark, d):
     ev = table(spark, d, "events").withColumn("severity", F.explode(F.array(*[F.lit(s) for s in ("critical", "HIGH", "medium", "low", None)])))
     matches = F.when(F.col("event_type") == "error", F.array(F.lit("repeated_failed_login"), F.lit("source_ip_spike"))).when(
         F.col("event_type") == "view", F.array(F.lit("suspicious_command"))).otherwise(F.array().cast("array<string>"))
     ev = ev.withColumn("rule_matches", matches).withColumn("anomaly", F.col("value") > 20).withColumn(
-        "anomaly_score", F.round(F.least(F.lit(1.0), F.col("value") / 100.0), 2))
+        "anomaly_score", F.least(F.lit(1.0), F.col("value") / 100.0))
     return risk.risk_score(ev).select("event_id", "severity", "risk_score")
 
 
@@ -681,7 +688,7 @@ def upsert_events(spark, d):
 
 # --- assembly -----------------------------------------------------------------------------
 
-_ASSEMBLE = f"""{checks.BASE}, lines AS ({derive.lines_sql('duckdb')}), marked AS (SELECT *, regexp_matches(trim(line, {checks._BLANKS}), {checks.q(checks.EVENT_START)})::INT AS st, trim(line, {checks._BLANKS}) = '' AS blank FROM lines),
+_ASSEMBLE = f"""{checks.BASE}, lines AS ({derive.lines_sql()}), marked AS (SELECT *, regexp_matches(trim(line, {checks._BLANKS}), {checks.q(checks.EVENT_START)})::INT AS st, trim(line, {checks._BLANKS}) = '' AS blank FROM lines),
   opened AS (SELECT *, (NOT blank AND (st = 1 OR coalesce(max(st) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0))::INT AS op FROM marked),
   grouped AS (SELECT *, sum(op) OVER (PARTITION BY file ORDER BY line_no) AS grp FROM opened),
   assembled AS (SELECT file, CAST(grp AS BIGINT) AS event_no, CAST(min(line_no) AS INT) AS line_no, count(*) AS line_count, string_agg(line, '' ORDER BY line_no) AS raw_event FROM grouped WHERE grp > 0 GROUP BY file, grp)"""
@@ -706,3 +713,128 @@ def process_all(spark, d):
     out = accepted(_events(spark, d))
     shown = [F.col("user").alias("user_name") if c == "user_name" else c for c in _SHOWN if c != "reject_reason"]
     return out.select(*shown, "format", "quality_score", "quality_status", "raw_hash")
+
+
+# --- sources, sinks and streams ------------------------------------------------------------
+# What these write goes to a new folder below the shared folder the cluster names.
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("write_read_events", f"WITH {checks.parsed('mixed')}, good AS (SELECT * FROM events1 WHERE reject_reason IS NULL), {checks.scored('good')} SELECT event_id, parser, source_ip, quality_score, CAST(2 AS INT) AS hash_version, sha256(raw_event) AS raw_hash FROM scored")
+def write_read_events(spark, d):
+    path = _folder(spark, "events")
+    write_events(accepted(_events(spark, d)), path)
+    return read_events(spark, path).select("event_id", "parser", "source_ip", "quality_score", "hash_version", "raw_hash")
+
+
+FILE_LINES = 5000
+_FILES = _ASSEMBLE.replace("FROM lines)", f"FROM (SELECT file || '-' || CAST((line_no - 1) // {FILE_LINES} AS VARCHAR) AS file, (line_no - 1) % {FILE_LINES} + 1 AS line_no, line FROM lines))")
+
+
+@query("read_log_files", f"WITH {_FILES} SELECT file, line_no, line_count, raw_event FROM assembled")
+def read_log_files(spark, d):
+    """Each user's lines are written as files of at most FILE_LINES lines, read back line by line and
+    put together into events."""
+    path = _folder(spark, "files")
+    cut = derive.lines(spark, d).select(
+        F.concat("file", F.lit("-"), F.floor((F.col("line_no") - 1) / FILE_LINES).cast("string")).alias("file"),
+        F.struct("line_no", "line").alias("l"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "")
+    # The writer ends a file with a line feed, so the last one of the text is left off.
+    per_file = cut.groupBy("file").agg(text.alias("text")).select("file", F.expr("left(text, length(text) - 1)").alias("text"))
+    per_file.write.partitionBy("file").text(path)
+    lines, _refused = files.read_log_files(spark, path)
+    name = F.regexp_extract("file", "file=([^/]+)/", 1)
+    return assemble.assemble_events(lines.withColumn("file", name)).select(
+        "file", F.col("line_no").cast("int").alias("line_no"), "line_count", "raw_event")
+
+
+@query("read_csv_events", f"WITH {checks.BASE} SELECT iso AS timestamp, src AS source_ip, act AS action, CASE WHEN dport BETWEEN 0 AND 65535 THEN CAST(dport AS INT) END AS destination_port, CASE WHEN dport > 65535 THEN 'destination_port: out of range' END AS reject_reason, CAST(n AS VARCHAR) AS row_no FROM base")
+def read_csv_events(spark, d):
+    path = _folder(spark, "csv")
+    derive.base(spark, d).select("n", F.col("iso").alias("time"), "src", "act", "dport").write.csv(path, header=True)
+    out = files.read_csv_events(spark, path, ["n"])
+    return out.select("timestamp", "source_ip", "action", "destination_port", "reject_reason", F.col("extensions")["n"].alias("row_no"))
+
+
+@query("forward_events", f"WITH {checks.BASE} SELECT id AS event_id, kind NOT IN ('error', 'click') AS delivered, CAST(CASE kind WHEN 'error' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END AS INT) AS calls FROM base")
+def forward_events(spark, d):
+    """The receiver takes no batches, refuses clicks, is always too busy for errors and answers
+    signups at the second call."""
+    busy: set[str] = set()
+
+    def sender(body):
+        if isinstance(body, list):
+            return 400
+        if '"signup"' in body and body not in busy:
+            busy.add(body)
+            return 429
+        busy.discard(body)
+        return 401 if '"click"' in body else 503 if '"error"' in body else 200
+
+    payloads = derive.base(spark, d).select(F.col("id").alias("event_id"), "kind", "src")
+    return forward(payloads, sender, retries=2, backoff=0)
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _stream_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(derive.base_sql("spark", "{events}"), events=_stream(spark, sf_dir))
+
+
+def _run(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """Run an append stream over what is there now, and read what it wrote."""
+    path = _folder(spark, name)
+    rows.writeStream.format("parquet").outputMode("append").option("path", path).option(
+        "checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query("stream_pipeline", f"WITH {checks.parsed('mixed')}, good AS (SELECT * FROM events1 WHERE reject_reason IS NULL), {checks.scored('good')} SELECT {checks.SHOWN.replace(', reject_reason', '')}, quality_score, quality_status, sha256(raw_event) AS raw_hash FROM scored")
+def stream_pipeline(spark, d):
+    path = _folder(spark, "stream")
+    rows = spark.sql(derive.logs_sql("mixed").replace("{", "{{").replace("}", "}}").replace("FROM base", "FROM {base}"),
+                     base=_stream_base(spark, d)).select("event_id", "raw_event")
+    start_pipeline(rows, path, path + "-dead", path + "-state", available_now=True).awaitTermination()
+    shown = [F.col("user").alias("user_name") if c == "user_name" else c for c in _SHOWN if c != "reject_reason"]
+    return read_events(spark, path).select(*shown, "quality_score", "quality_status", "raw_hash")
+
+
+@query("stream_dead_letters", f"WITH {checks.parsed('mixed')} SELECT raw_event AS log, reject_reason AS error FROM events1 WHERE reject_reason IS NOT NULL")
+def stream_dead_letters(spark, d):
+    path = _folder(spark, "stream")
+    rows = spark.sql(derive.logs_sql("mixed").replace("{", "{{").replace("}", "}}").replace("FROM base", "FROM {base}"),
+                     base=_stream_base(spark, d)).select("event_id", "raw_event")
+    start_pipeline(rows, path, path + "-dead", path + "-state", available_now=True).awaitTermination()
+    return spark.read.parquet(path + "-dead").select(F.col("payload.log").alias("log"), "error")
+
+
+@query("streaming_rules", f"WITH {checks.SEC}, failures AS (SELECT * FROM ev WHERE {checks.FAILED}) SELECT event_id, coalesce(f.c, 0) AS failed_count, s.c AS spike_count FROM ev LEFT JOIN {checks.trailing('failures', LOGIN_S)} f USING (event_id) JOIN {checks.trailing('ev', SPIKE_S)} s USING (event_id)")
+def streaming_rules_query(spark, d):
+    ev = _stream_base(spark, d).select(F.col("id").alias("event_id"), "event_ts", F.col("src").alias("source_ip"),
+                                       F.col("act").alias("action"), F.col("kind").alias("event_type"), F.col("sev").alias("severity"))
+    return _run(spark, streaming_rules(ev, RULES), "rules").select("event_id", "failed_count", "spike_count")
+
+
+@query("streaming_chain", f"""WITH RECURSIVE {checks.BASE}, placed AS (SELECT user_id AS k, id, props || '|' || iso AS raw, row_number() OVER (PARTITION BY user_id ORDER BY event_ts, id) AS pos FROM base),
+  chain AS (SELECT k, pos, id, CAST(NULL AS VARCHAR) AS prev, sha256(raw) AS h FROM placed WHERE pos = 1 UNION ALL SELECT p.k, p.pos, p.id, c.h, sha256(c.h || p.raw) FROM chain c JOIN placed p ON p.k = c.k AND p.pos = c.pos + 1)
+  SELECT CAST(k AS VARCHAR) AS chain_key, id AS event_id, prev AS previous_hash, h AS chain_hash FROM chain""")
+def streaming_chain_query(spark, d):
+    ev = _stream_base(spark, d).select("user_id", F.col("id").alias("event_id"), "event_ts", F.concat_ws("|", "props", "iso").alias("raw_event"))
+    return _run(spark, streaming_chain(ev, "user_id", ["event_ts", "event_id"]), "chain")
+
+
+@query("streaming_rate_anomaly", f"""WITH {checks.SEC}, b AS (SELECT CAST(floor(epoch_us(event_ts) / {BUCKET * 1000000}.0) AS BIGINT) AS bucket, count(*) AS n FROM ev GROUP BY 1),
+  closed AS (SELECT * FROM b WHERE (bucket + 1) * {BUCKET} <= (SELECT floor(max(epoch_ms(event_ts)) - 600000) / 1000.0 FROM ev)),
+  w AS (SELECT *, count(*) OVER x AS nb, avg(n) OVER x AS m, stddev_pop(n) OVER x AS sd FROM closed WINDOW x AS (ORDER BY bucket ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING))
+  SELECT bucket, n, coalesce(CASE WHEN nb >= 50 AND sd > 0 THEN (n - m) / sd >= {Z} END, false) AS anomaly FROM w""")
+def streaming_rate_anomaly(spark, d):
+    path = _folder(spark, "rates")
+    ev = _stream_base(spark, d).select("event_ts")
+    start_rate_anomaly(ev, path, path + "-state", ANOMALY, available_now=True).awaitTermination()
+    return spark.read.parquet(path).select("bucket", "n", "anomaly")

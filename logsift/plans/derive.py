@@ -7,6 +7,9 @@ and its check. Only the spellings in `DIALECT` differ.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logsift.operators.numbering import number_rows
 
 DIALECT = {
     "spark": {
@@ -105,15 +108,16 @@ def logs_sql(kind: str) -> str:
     return f"SELECT id AS event_id, event_ts, user_id, n, {text} AS raw_event FROM base"
 
 
-def lines_sql(dialect: str) -> str:
-    """(file, line_no, line): one file per user; a file's first lines may hold no start line, and
-    some lines are blank. Errors begin with a date, signups with a brace."""
-    return """SELECT 'f' || CAST(user_id AS STRING) AS file,
-      row_number() OVER (PARTITION BY user_id ORDER BY event_ts, n) AS line_no,
-      CASE WHEN n % 12 = 0 THEN '  ' WHEN kind = 'error' THEN iso || ' error from ' || src
+# (file, line_no, line): one file per user; a file's first lines may hold no start line, and some
+# lines are blank. Errors begin with a date, some signups with a brace.
+LINE = """CASE WHEN n % 12 = 0 THEN '  ' WHEN kind = 'error' THEN iso || ' error from ' || src
            WHEN kind = 'signup' AND n % 2 = 0 THEN '{"user": ' || CAST(user_id AS STRING)
-           ELSE '  at ' || kind || ' ' || CAST(n AS STRING) END || CASE WHEN n % 5 = 0 THEN chr(13) || chr(10) ELSE chr(10) END AS line
-      FROM base"""
+           ELSE '  at ' || kind || ' ' || CAST(n AS STRING) END || CASE WHEN n % 5 = 0 THEN chr(13) || chr(10) ELSE chr(10) END"""
+
+
+def lines_sql() -> str:
+    return f"""SELECT 'f' || CAST(user_id AS STRING) AS file,
+      row_number() OVER (PARTITION BY user_id ORDER BY event_ts, n) AS line_no, {LINE} AS line FROM base"""
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +127,6 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised events with an `extensions` map, ready for the rules."""
-    from pyspark.sql import functions as F
-
     out = spark.sql(EVENTS.replace("FROM base", "FROM {base}"), base=base(spark, sf_dir))
     entries = F.filter(
         F.array(F.struct(F.lit("command").alias("key"), F.col("command").alias("value")),
@@ -139,5 +141,5 @@ def logs(spark: SparkSession, sf_dir: str, kind: str = "mixed") -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(lines_sql("spark").replace("{", "{{").replace("}", "}}").replace("FROM base", "FROM {base}"),
-                     base=base(spark, sf_dir))
+    placed = number_rows(base(spark, sf_dir), ["user_id"], "event_ts", ["n"], "place", slab_seconds=86400)
+    return placed.selectExpr("'f' || CAST(user_id AS STRING) AS file", "CAST(place + 1 AS INT) AS line_no", f"{LINE} AS line")
