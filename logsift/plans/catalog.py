@@ -19,7 +19,7 @@ from logsift.session import checkpoint_root, configure
 from logsift.sinks.forward import forward
 from logsift.sinks.tables import write_events
 from logsift.sources import files
-from logsift.sources.tables import read_events
+from logsift.sources.tables import read_events, spread
 from logsift.streaming.pipeline import start_pipeline
 from logsift.streaming.stateful import start_rate_anomaly, streaming_chain, streaming_rules
 
@@ -45,7 +45,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def joined(c: str | Column, sep: str = ",") -> Column:
@@ -370,7 +370,7 @@ def display_fields(spark, d):
 
 @query("count_events", "SELECT count(*) AS total_events FROM events")
 def count_events(spark, d):
-    return aggregates.count_events(table(spark, d, "events"))
+    return aggregates.count_events(spark.read.parquet(f"{d}/events.parquet"))
 
 
 @query("format_facets", f"WITH {checks.typed('mixed')} SELECT upper({_FORMAT}) AS format_label, count(*) AS events FROM typed GROUP BY 1")
@@ -559,7 +559,7 @@ def normalized_hash(spark, d):
     return integrity.add_hashes(ev).select("event_id", "normalized_hash")
 
 
-SEGMENT = 50
+SEGMENT = 500
 
 
 def _chained(spark, d) -> DataFrame:

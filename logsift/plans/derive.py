@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.operators.numbering import number_rows
+from logsift.sources.tables import spread
 
 DIALECT = {
     "spark": {
@@ -121,7 +122,7 @@ def lines_sql() -> str:
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return spark.sql(base_sql("spark", "{events}"), events=events)
 
 
