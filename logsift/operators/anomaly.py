@@ -56,9 +56,13 @@ def bucket_baseline(buckets: DataFrame, settings: AnomalySettings = AnomalySetti
     )
 
 
-def rate_anomaly(events: DataFrame, settings: AnomalySettings = AnomalySettings(), time: str = "event_ts") -> DataFrame:
+def rate_anomaly(events: DataFrame, settings: AnomalySettings = AnomalySettings(), time: str = "event_ts",
+                 counted: DataFrame | None = None) -> DataFrame:
     """Add anomaly, anomaly_score and anomaly_reason to each event.
 
+    `counted` may name a cheaper table with the same times to count the buckets on, for events that
+    took much work to get: only its time column is read.
+
     An event is compared, as the n-th of its bucket so far, with the earlier buckets. A bucket is
     cut into `splits` parts of time; their counts, aggregated before the shuffle, give each part its
     starting number, so that a bucket with very many events is counted by many tasks.
@@ -66,9 +70,11 @@ def rate_anomaly(events: DataFrame, settings: AnomalySettings = AnomalySettings(
     width = settings.bucket_seconds * 1_000_000
     part_width = max(1, width // settings.splits)
     t = micros(F.col(time))
-    rows = events.withColumn("_t", t).withColumn("bucket", F.floor(F.col("_t") / width)).withColumn(
-        "part", F.coalesce(F.floor(F.col("_t") / part_width), -1 - F.pmod(F.xxhash64("event_id"), F.lit(4096))))
-    parts = rows.filter("bucket IS NOT NULL").groupBy("bucket", "part").agg(F.count("*").alias("_n"))
+    bucket, part = F.floor(t / width).alias("bucket"), F.floor(t / part_width)
+    rows = events.withColumn("_t", t).withColumn("bucket", bucket).withColumn(
+        "part", F.coalesce(part, -1 - F.pmod(F.xxhash64("event_id"), F.lit(4096))))
+    times = (events if counted is None else counted).filter(F.col(time).isNotNull())
+    parts = times.groupBy(bucket, part.alias("part")).agg(F.count("*").alias("_n"))
     buckets = parts.groupBy("bucket").agg(F.sum("_n").alias("n"))
     earlier = W.partitionBy("bucket").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = parts.select("bucket", "part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))

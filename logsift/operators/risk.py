@@ -52,7 +52,7 @@ def analyze(events: DataFrame, rules: RuleSettings = RuleSettings(), anomalies:
     )
     ruled = apply_rules(with_rule_counts(narrow, rules), rules).select(
         "event_id", "event_ts", "severity", "rule_matches", "rule_reasons", "detected")
-    scored = risk_score(rate_anomaly(ruled, anomalies))
+    scored = risk_score(rate_anomaly(ruled, anomalies, counted=narrow))
     reasons = F.when(F.col("anomaly"), F.concat("rule_reasons", F.array("anomaly_reason"))).otherwise(
         F.col("rule_reasons"))
     return scored.select(

@@ -59,15 +59,15 @@ def trailing_counts(df: DataFrame, key: str, time: str, event_id: str, counts: d
 
     # One row per event (step 0) and per expiry of a counted event (step 1), without a second scan.
     zero = {n: F.lit(0) for n in names}
-    steps = [F.struct(F.lit(0).alias("step"), F.col("_t").alias("at"),
-                      *[F.col(f"_d_{n}").alias(f"d_{n}") for n in names])]
+    steps = [(F.lit(True), F.struct(F.lit(0).alias("step"), F.col("_t").alias("at"),
+                                    *[F.col(f"_d_{n}").alias(f"d_{n}") for n in names]))]
     for name in names:
         delta = {**zero, name: F.lit(-1)}
-        steps.append(F.when(F.col(f"_d_{name}") == 1, F.struct(
+        steps.append((F.col(f"_d_{name}") == 1, F.struct(
             F.lit(1).alias("step"), (F.col("_t") + counts[name][1] * 1_000_000).alias("at"),
             *[delta[n].alias(f"d_{n}") for n in names])))
     payload = [c for c in df.columns if c != key]
-    moves = placed.withColumn("_s", F.explode(F.filter(F.array(*steps), lambda s: s.isNotNull())))
+    moves = placed.withColumn("_s", F.explode(kept(steps)))
     is_event = F.col("_s.step") == 0
     width = slab_seconds * 1_000_000
     slab = (
