@@ -240,6 +240,15 @@ def mapping_records(df: DataFrame, key: str, raw: str = "raw_event", hint: str |
     )
 
 
+def list_records(records: DataFrame) -> DataFrame:
+    """Newest first."""
+    return records.orderBy(F.desc("created_at"), "approval_id")
+
+
+def get_record(records: DataFrame, approval_id: str) -> DataFrame:
+    return records.filter(F.col("approval_id") == approval_id)
+
+
 def apply_decisions(records: DataFrame, decisions: DataFrame) -> DataFrame:
     """Give each record its latest decision.
 

@@ -366,6 +366,16 @@ def display_fields(spark, d):
     return out.select("event_id", "display_source", "display_destination", "format_label", "field_count")
 
 
+@query("event_confidence", f"""WITH {checks.parsed('mixed')}, {checks.classify_sql('(SELECT * FROM typed WHERE parser IS NULL)')}, o AS (SELECT event_id, {checks.CLASS_OUT} FROM classed),
+  c AS (SELECT e.event_id, CASE parse_status WHEN 'success' THEN 1.0::DOUBLE WHEN 'error' THEN 0.0::DOUBLE ELSE o.confidence END AS confidence, substr(e.event_id, 13) IN ('1', '2') AS chained FROM events1 e LEFT JOIN o USING (event_id) WHERE reject_reason IS NULL)
+  SELECT event_id, confidence, CAST(floor(round(confidence * 100, 6) + 0.5) AS INT) AS confidence_percent, CASE WHEN chained THEN 'VERIFIED' ELSE '—' END AS badge FROM c""")
+def event_confidence(spark, d):
+    """The confidence that a format took the log, or of the guess where none did."""
+    ev = accepted(_events(spark, d)).withColumn("confidence", F.round("confidence", 6)).withColumn(
+        "chain_hash", F.when(F.substring("event_id", 13, 1).isin("1", "2"), F.col("raw_hash")))
+    return display.display_fields(ev).select("event_id", "confidence", "confidence_percent", "badge")
+
+
 # --- aggregates ---------------------------------------------------------------------------
 
 @query("count_events", "SELECT count(*) AS total_events FROM events")
@@ -653,6 +663,15 @@ def extract_pairs(spark, d):
     return docs.select("doc_id", F.size("ks").cast("bigint").alias("pairs"), joined(F.array_sort("ks")).alias("names"))
 
 
+_COUNTED = " + ".join(f"(len(list_filter(ks, lambda x: regexp_matches(x, '{'|'.join(w)}'))) > 0)::INT" for w in fixed.MAPPING_TARGETS.values())
+
+
+@query("mapping_records", f"WITH {checks.logs('mixed')}, {checks.classify_sql()}, o AS (SELECT event_id, raw_event, {checks.CLASS_OUT} FROM classed), k AS (SELECT *, {_KEYS} AS ks FROM o) SELECT event_id AS approval_id, format AS format_prediction, CAST({_COUNTED} AS INT) AS suggestions, 'suggestion' AS status FROM k")
+def mapping_records(spark, d):
+    out = classify.mapping_records(derive.logs(spark, d), "event_id")
+    return out.select("approval_id", "format_prediction", F.size("suggestions").alias("suggestions"), "status")
+
+
 @query("apply_decisions", f"""WITH {checks.BASE}, dec AS (SELECT 'k' || (n % 97) AS approval_id, CASE WHEN kind = 'error' THEN 'rejected' ELSE 'approved' END AS decision, usr AS username, iso AS decided_at FROM base),
   rec AS (SELECT 'k' || i AS approval_id, i FROM range(120) r(i))
   SELECT approval_id, coalesce(arg_max(decision, decided_at), 'suggestion') AS status, arg_max(username, decided_at) FILTER (decision = 'approved') AS approved_by, max(decided_at) FILTER (decision = 'approved') AS approved_at,
@@ -795,8 +814,8 @@ def _run(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-@query("stream_pipeline", f"WITH {checks.parsed('mixed')}, good AS (SELECT * FROM events1 WHERE reject_reason IS NULL), {checks.scored('good')} SELECT {checks.SHOWN.replace(', reject_reason', '')}, quality_score, quality_status, sha256(raw_event) AS raw_hash FROM scored")
-def stream_pipeline(spark, d):
+@query("stream_events", f"WITH {checks.parsed('mixed')}, good AS (SELECT * FROM events1 WHERE reject_reason IS NULL), {checks.scored('good')} SELECT {checks.SHOWN.replace(', reject_reason', '')}, quality_score, quality_status, sha256(raw_event) AS raw_hash FROM scored")
+def stream_events(spark, d):
     path = _folder(spark, "stream")
     rows = spark.sql(derive.logs_sql("mixed").replace("{", "{{").replace("}", "}}").replace("FROM base", "FROM {base}"),
                      base=_stream_base(spark, d)).select("event_id", "raw_event")

@@ -19,7 +19,7 @@ def duck():
 
 @pytest.mark.parametrize("name", [
     "process_logs", "analyze", "chain_hash", "assemble_events", "classify_documents", "detect_parser_documents",
-    "suggest_mappings", "streaming_rules", "streaming_chain", "stream_pipeline", "streaming_rate_anomaly", "read_csv_events",
+    "suggest_mappings", "streaming_rules", "streaming_chain", "stream_events", "streaming_rate_anomaly", "read_csv_events",
 ])
 def test_query(spark, duck, name):
     got = entry.queries()[name](spark, SF).toArrow().to_pandas(integer_object_nulls=True)

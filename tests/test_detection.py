@@ -128,3 +128,17 @@ def test_delivery(answers, good, calls):
 
     assert deliver(sender, {}, sleep=waits.append) == (good, calls)
     assert waits == [2, 4, 6][:calls - 1]
+
+
+def test_queue_source(spark, tmp_path):
+    from logsift.sources.queue import stream_logs
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(
+        '{"request_id": "r", "log": "CEF:0|a", "timestamp": 1.5, "attempts": 0}\n{"request_id": "r", "log": "  ", "timestamp": 2, "attempts": 1}\n')
+    logs = stream_logs(spark, "json", str(tmp_path / "in"), per_trigger=1)
+    run = logs.writeStream.format("memory").queryName("queued").trigger(availableNow=True).option(
+        "checkpointLocation", str(tmp_path / "state")).start()
+    run.awaitTermination()
+    rows = spark.table("queued").collect()
+    assert [(r["request_id"], r["raw_event"], r["attempts"]) for r in rows] == [("r", "CEF:0|a", 0)]
