@@ -21,7 +21,7 @@ from logsift.sinks.tables import write_events
 from logsift.sources import files
 from logsift.sources.tables import read_events, spread
 from logsift.streaming.pipeline import start_pipeline
-from logsift.streaming.stateful import start_rate_anomaly, streaming_chain, streaming_rules
+from logsift.streaming.stateful import start_rate_anomaly, start_rules, streaming_chain, streaming_rules
 
 # Thresholds under which the sparse events table has rows on both sides.
 LOGIN, LOGIN_S, SPIKE, SPIKE_S, BUCKET, Z = 3, 3 * 86400, 12, 3 * 86400, 3600, 2.5
@@ -833,11 +833,25 @@ def stream_dead_letters(spark, d):
     return spark.read.parquet(path + "-dead").select(F.col("payload.log").alias("log"), "error")
 
 
-@query("streaming_rules", f"WITH {checks.SEC}, failures AS (SELECT * FROM ev WHERE {checks.FAILED}) SELECT event_id, coalesce(f.c, 0) AS failed_count, s.c AS spike_count FROM ev LEFT JOIN {checks.trailing('failures', LOGIN_S)} f USING (event_id) JOIN {checks.trailing('ev', SPIKE_S)} s USING (event_id)")
+_COUNTS_SQL = f"WITH {checks.SEC}, failures AS (SELECT * FROM ev WHERE {checks.FAILED}) SELECT event_id, coalesce(f.c, 0) AS failed_count, s.c AS spike_count FROM ev LEFT JOIN {checks.trailing('failures', LOGIN_S)} f USING (event_id) JOIN {checks.trailing('ev', SPIKE_S)} s USING (event_id)"
+
+
+def _stream_events(spark: SparkSession, d: str) -> DataFrame:
+    return _stream_base(spark, d).select(F.col("id").alias("event_id"), "event_ts", F.col("src").alias("source_ip"),
+                                         F.col("act").alias("action"), F.col("kind").alias("event_type"), F.col("sev").alias("severity"))
+
+
+@query("streaming_rules", _COUNTS_SQL)
 def streaming_rules_query(spark, d):
-    ev = _stream_base(spark, d).select(F.col("id").alias("event_id"), "event_ts", F.col("src").alias("source_ip"),
-                                       F.col("act").alias("action"), F.col("kind").alias("event_type"), F.col("sev").alias("severity"))
-    return _run(spark, streaming_rules(ev, RULES), "rules").select("event_id", "failed_count", "spike_count")
+    return _run(spark, streaming_rules(_stream_events(spark, d), RULES), "rules").select("event_id", "failed_count", "spike_count")
+
+
+@query("streaming_rules_split", _COUNTS_SQL)
+def streaming_rules_split(spark, d):
+    path = _folder(spark, "rules")
+    start_rules(_stream_events(spark, d), path, path + "-state", RULES, available_now=True).awaitTermination()
+    failed = F.when(F.col("auth_failed"), F.col("failed_count")).otherwise(0)
+    return spark.read.parquet(path).select("event_id", failed.alias("failed_count"), "spike_count")
 
 
 @query("streaming_chain", f"""WITH RECURSIVE {checks.BASE}, placed AS (SELECT user_id AS k, id, props || '|' || iso AS raw, row_number() OVER (PARTITION BY user_id ORDER BY event_ts, id) AS pos FROM base),

@@ -193,8 +193,6 @@ def quality_cols(ip_ok=is_ip) -> str:
     bp = "(source_port IS NOT NULL AND destination_port IS NOT NULL)"
     act = "(action IS NOT NULL)"
     n = f"({bi}::INT + {bp}::INT + {act}::INT)"
-    good = (f"({bi} AND source_ip <> destination_ip)::INT + ({bp} AND source_port <> destination_port)::INT"
-            f" + ({act} AND trim(action, {_BLANKS}) <> '')::INT")
     return f"""round_even(({comp}) / 9.0::DOUBLE * 100, 0) AS completeness, round_even((coalesce(({valid}), 0)) / 4.0::DOUBLE * 100, 0) AS validity,
       CASE WHEN {n} = 0 THEN 100.0 ELSE round_even((coalesce((({bi} AND source_ip <> destination_ip)), false)::INT + coalesce(({bp} AND source_port <> destination_port), false)::INT + coalesce(({act} AND trim(action, {_BLANKS}) <> ''), false)::INT) / {n}::DOUBLE * 100, 0) END AS consistency"""
 

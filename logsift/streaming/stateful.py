@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logsift.operators.anomaly import AnomalySettings, bucket_baseline
 from logsift.operators.numbering import micros
-from logsift.operators.rules import RuleSettings, auth_failure
+from logsift.operators.rules import RuleSettings, auth_failure, with_rule_counts
 
 
 def streaming_rules(events: DataFrame, settings: RuleSettings = RuleSettings(), time: str = "event_ts",
@@ -55,6 +55,38 @@ def streaming_rules(events: DataFrame, settings: RuleSettings = RuleSettings(),
         "failed array<long>, seen array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def start_rules(events: DataFrame, path: str, checkpoint: str, settings: RuleSettings = RuleSettings(),
+                time: str = "event_ts", available_now: bool = False) -> StreamingQuery:
+    """The same counts for sources of any size: each micro-batch is counted by the batch rules,
+    which split a busy source over many tasks, together with the stored events still in a window.
+
+    The written table is the state: event_id, time, source_ip, action, event_type, severity,
+    auth_failed, failed_count, spike_count by batch. Its time statistics let the reader skip what
+    has left the windows. A late event is counted itself, counts already given stay.
+    """
+    longest = max(settings.failed_login_seconds, settings.spike_seconds)
+    kept = ["event_id", time, "source_ip", "action", "event_type", "severity"]
+    types = f"event_id string, {time} timestamp, source_ip string, action string, event_type string, severity string, batch_id int"
+
+    def count(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.select(*kept).withColumn("fresh", F.lit(True)).persist()
+        try:
+            first = fresh.agg(F.min(time)).first()[0]
+            rows = fresh
+            if first is not None and _exists(spark, path):
+                since = F.lit(first) - F.expr(f"INTERVAL {longest} SECONDS")
+                before = spark.read.schema(types).parquet(path).filter((F.col("batch_id") < number) & (F.col(time) >= since))
+                rows = fresh.unionByName(before.select(*kept).withColumn("fresh", F.lit(False)))
+            counted = with_rule_counts(rows, settings, time).filter("fresh").drop("fresh")
+            counted.write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+        finally:
+            fresh.unpersist()
+
+    writer = events.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def start_rate_anomaly(events: DataFrame, path: str, checkpoint: str, settings: AnomalySettings = AnomalySettings(),
                        time: str = "event_ts", delay: str = "10 minutes", available_now: bool = False) -> StreamingQuery:
     """Judge each time bucket, once the watermark has closed it, against the buckets stored before.
