@@ -37,3 +37,27 @@ def op7_byte_bpe(spark, d):
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op10_mixture(spark, d):
+    from logsift.llm.mixture import mix, size_of
+    from logsift.session import stored
+
+    docs = table(spark, d, "documents")
+    sized = stored(docs.select("doc_id", "source", size_of("text").alias("size")), "sizes")
+    return mix(sized).documents.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "copies")
+
+
+ORACLES["op10_mixture"] = r"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 6) AS BIGINT) AS cell FROM documents),
+  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS w FROM d GROUP BY source),
+  level AS (SELECT 0 AS step, s.*, false AS capped, CAST(0 AS DOUBLE) AS unit FROM s
+    UNION ALL (SELECT step + 1, source, n, w, capped OR u * w > 3 * n, u FROM
+      (SELECT *, (sum(n) OVER () - coalesce(sum(CASE WHEN capped THEN 3 * n END) OVER (), 0)) / CAST(coalesce(sum(CASE WHEN NOT capped THEN w END) OVER (), 1) AS DOUBLE) AS u FROM level) WHERE step < 40)),
+  t AS (SELECT source, n, CASE WHEN capped THEN CAST(3 * n AS DOUBLE) ELSE unit * w END AS target FROM level WHERE step = 40),
+  p AS (SELECT *, CAST(round_even(target, 0) AS BIGINT) AS want FROM t),
+  q AS (SELECT *, CASE WHEN n > 0 THEN want // n ELSE 0 END AS q, CASE WHEN n > 0 THEN want % n ELSE 0 END AS rest FROM p),
+  c AS (SELECT source, cell, sum(size) AS m FROM d GROUP BY ALL),
+  b AS (SELECT source, cell, m, coalesce(sum(m) OVER (PARTITION BY source ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM c)
+  SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, q.n AS source_size, round(q.target, 6) AS target, CAST((q.q + CASE WHEN 2 * b.done + b.m < 2 * q.rest THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken, CAST(q.q + CASE WHEN 2 * b.done + b.m < 2 * q.rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN b ON b.source IS NOT DISTINCT FROM d.source AND b.cell = d.cell"""
