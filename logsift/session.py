@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Set on every session. Repeated keys keep their last value and times are read as UTC. Constraint propagation compares every
 # computed column with every other one over many projections: planning a filter on a parsed event
@@ -47,9 +47,18 @@ def local_session(app: str = "logsift", cores: str | None = None, **conf: str) -
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a fresh temporary one where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = tempfile.mkdtemp(prefix="logsift-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    """The folder shared by the driver and all executors: the one the cluster names in spark.checkpoint.dir, or else one
+    in the warehouse, which is shared as well."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for what one run writes."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a table in the shared folder and read from there: lineage ends, and a lost executor loses nothing."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
