@@ -61,3 +61,44 @@ ORACLES["op10_mixture"] = r"""WITH RECURSIVE d AS (SELECT doc_id, source, coales
   b AS (SELECT source, cell, m, coalesce(sum(m) OVER (PARTITION BY source ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM c)
   SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, q.n AS source_size, round(q.target, 6) AS target, CAST((q.q + CASE WHEN 2 * b.done + b.m < 2 * q.rest THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken, CAST(q.q + CASE WHEN 2 * b.done + b.m < 2 * q.rest THEN 1 ELSE 0 END AS BIGINT) AS copies
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN b ON b.source IS NOT DISTINCT FROM d.source AND b.cell = d.cell"""
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query
+def op1_url_reputation(spark, d):
+    """A page is labelled if the document whose number ends its path is: good if of good quality and not toxic."""
+    from logsift.llm.url_reputation import filter_urls, url_path
+
+    pages = table(spark, d, "pages").select("page_id", "url")
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    number = F.expr("try_cast(nullif(doc, '') AS BIGINT)")
+    shown = pages.select("url", F.regexp_extract(url_path("url"), r"([0-9]+)(\.html)?/?$", 1).alias("doc")).select("url", number.alias("doc_id"))
+    return filter_urls(pages, shown.join(labels, "doc_id", "left").select("url", "good"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict", "labelled", "good")
+
+
+def _worth_sql(name: str, units: str, n: str, k: str, pn: str, pk: str, parents: str) -> str:
+    return f"""{name}_x AS (SELECT count(*) AS g, count(DISTINCT {parents}) AS p, CAST(sum({n}) AS DOUBLE) AS n, sum({n} * power({k} / {n} - {pk} / {pn}, 2)) AS b, sum({k} * (1 - {k} / {n})) AS w, sum(CAST({n} AS DOUBLE) * {n} / {pn}) AS sq FROM {units} WHERE {n} > 0),
+  {name}_y AS (SELECT *, b / (g - p) AS ms_b, w / (n - g) AS ms_w, (n - sq) / (g - p) AS n0 FROM {name}_x WHERE g > p AND n > g),
+  {name} AS (SELECT coalesce(max(1 / least(greatest(CASE WHEN ms_b + (n0 - 1) * ms_w > 0 THEN (ms_b - ms_w) / (ms_b + (n0 - 1) * ms_w) ELSE 0 END, 1 / 1001.0::DOUBLE), 0.5) - 1), 20) AS m FROM {name}_y)"""
+
+
+_LAST = r"((?:" + "|".join(s.replace(".", r"\.") for s in ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz", "co.za", "com.cn")) + r")|[^.]+)$"
+ORACLES["op1_url_reputation"] = rf"""WITH u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+  l AS (SELECT doc_id, min(quality = 1 AND toxic = 0) AS good FROM labels GROUP BY doc_id),
+  o AS (SELECT host, good FROM (SELECT host, TRY_CAST(nullif(regexp_extract(path, '([0-9]+)(\.html)?/?$', 1), '') AS BIGINT) AS doc_id FROM u) LEFT JOIN l USING (doc_id)),
+  h AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS bare, count(good) AS n, CAST(coalesce(sum(CAST(good AS INT)), 0) AS BIGINT) AS k FROM o GROUP BY host),
+  hs AS (SELECT *, CASE WHEN regexp_matches(bare, '^[0-9.]+$|^\[') THEN 'ip' ELSE regexp_extract(bare, '(?:^|\.){_LAST}', 1) END AS suffix, CASE WHEN regexp_matches(bare, '^[0-9.]+$|^\[') THEN bare ELSE regexp_extract(bare, '(?:[^.]+\.)?{_LAST}', 0) END AS domain FROM h),
+  ds AS (SELECT domain, suffix, CAST(sum(n) AS BIGINT) AS dn, CAST(sum(k) AS BIGINT) AS dk FROM hs GROUP BY ALL),
+  ss AS (SELECT suffix, CAST(sum(dn) AS BIGINT) AS sn, CAST(sum(dk) AS BIGINT) AS sk FROM ds GROUP BY ALL),
+  a AS (SELECT CAST(sum(sn) AS BIGINT) AS an, CAST(sum(sk) AS BIGINT) AS ak FROM ss),
+  hd AS (SELECT * FROM hs JOIN ds USING (domain, suffix)), dd AS (SELECT * FROM ds JOIN ss USING (suffix)), sa AS (SELECT * FROM ss, a),
+  {_worth_sql('mh', 'hd', 'n', 'k', 'dn', 'dk', '(domain, suffix)')}, {_worth_sql('md', 'dd', 'dn', 'dk', 'sn', 'sk', 'suffix')}, {_worth_sql('mz', 'sa', 'sn', 'sk', 'an', 'ak', 'an')},
+  s2 AS (SELECT suffix, (sk + mz.m * (ak + 1) / (an + 2)) / (sn + mz.m) AS sm FROM ss, a, mz),
+  d2 AS (SELECT domain, suffix, (dk + md.m * sm) / (dn + md.m) AS dm FROM ds JOIN s2 USING (suffix), md),
+  h2 AS (SELECT host, n, k, mh.m + n AS total, (k + mh.m * dm) / (n + mh.m) AS rate FROM hs JOIN d2 USING (domain, suffix), mh),
+  r AS (SELECT page_id, host, path, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1' WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/' WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM u)
+  SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN an = 0 OR rate - 1.645 * sqrt(rate * (1 - rate) / (total + 1)) >= 0.65 THEN 'allow' ELSE 'block' END AS verdict, n AS labelled, k AS good
+  FROM r JOIN h2 USING (host), a"""
