@@ -102,3 +102,36 @@ ORACLES["op1_url_reputation"] = rf"""WITH u AS (SELECT page_id, url, translate(c
   r AS (SELECT page_id, host, path, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1' WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/' WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM u)
   SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN an = 0 OR rate - 1.645 * sqrt(rate * (1 - rate) / (total + 1)) >= 0.65 THEN 'allow' ELSE 'block' END AS verdict, n AS labelled, k AS good
   FROM r JOIN h2 USING (host), a"""
+
+
+@query
+def op4_line_windows(spark, d):
+    from logsift.llm.line_windows import remove_repeated_lines
+
+    done = remove_repeated_lines(table(spark, d, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLES["op4_line_windows"] = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+  w AS (SELECT doc_id, pos, line, lead(line, 1) OVER x AS l2, lead(line, 2) OVER x AS l3 FROM l WINDOW x AS (PARTITION BY doc_id ORDER BY pos)),
+  r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, pos) > 1 AS later FROM w WHERE l3 IS NOT NULL),
+  c AS (SELECT DISTINCT doc_id, pos + unnest([0, 1, 2]) AS pos FROM r WHERE later)
+  SELECT d.doc_id, count(l.pos) AS n_lines, count(c.pos) AS n_removed, sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE c.pos IS NULL), '')) AS kept_sha256
+  FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN c ON c.doc_id = l.doc_id AND c.pos = l.pos GROUP BY d.doc_id"""
+
+
+@query
+def op9_superkmers(spark, d):
+    from logsift.llm.superkmers import remove_repeated_windows
+
+    done = remove_repeated_windows(table(spark, d, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op9_superkmers"] = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+  w AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS pos, words FROM d WHERE len(words) >= 35),
+  r AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY array_to_string(words[pos:pos + 34], ' ')) AS times FROM w),
+  c AS (SELECT DISTINCT doc_id, pos + unnest(range(0, 35)) AS pos FROM r WHERE times > 1),
+  k AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d)
+  SELECT d.doc_id, count(k.pos) AS n_words, count(c.pos) AS n_removed, sha256(coalesce(string_agg(k.word, ' ' ORDER BY k.pos) FILTER (WHERE c.pos IS NULL), '')) AS kept_sha256
+  FROM d LEFT JOIN k USING (doc_id) LEFT JOIN c ON c.doc_id = k.doc_id AND c.pos = k.pos GROUP BY d.doc_id"""
