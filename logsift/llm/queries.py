@@ -135,3 +135,10 @@ ORACLES["op9_superkmers"] = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coa
   k AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d)
   SELECT d.doc_id, count(k.pos) AS n_words, count(c.pos) AS n_removed, sha256(coalesce(string_agg(k.word, ' ' ORDER BY k.pos) FILTER (WHERE c.pos IS NULL), '')) AS kept_sha256
   FROM d LEFT JOIN k USING (doc_id) LEFT JOIN c ON c.doc_id = k.doc_id AND c.pos = k.pos GROUP BY d.doc_id"""
+
+
+@query
+def op3_shingle_join(spark, d):
+    from logsift.llm.shingle_join import jaccard_components
+
+    return jaccard_components(table(spark, d, "documents").select("doc_id", "text"))
