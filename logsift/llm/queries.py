@@ -142,3 +142,12 @@ def op3_shingle_join(spark, d):
     from logsift.llm.shingle_join import jaccard_components
 
     return jaccard_components(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_toxic_cnn(spark, d):
+    from logsift.llm.toxic_cnn import held_out, score, train
+
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    done = score(docs, train(docs, table(spark, d, "labels")))
+    return done.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic")
