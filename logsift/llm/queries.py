@@ -151,3 +151,21 @@ def op6_toxic_cnn(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     done = score(docs, train(docs, table(spark, d, "labels")))
     return done.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic")
+
+
+@query
+def op8_warc(spark, d):
+    from logsift.llm.warc import plan_records, read_records, write_archives
+    from logsift.session import new_folder
+
+    folder = new_folder(spark, "warc")
+    index = write_archives(plan_records(table(spark, d, "pages")), folder)
+    return read_records(index, folder).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# DuckDB has SHA-1 in hexadecimal only; base32 takes 5 bits at a time of the 160.
+ORACLES["op8_warc"] = """WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+  g AS (SELECT hex, max(page_id) AS last FROM p GROUP BY hex),
+  b AS (SELECT hex, string_agg(lpad(bin(CAST('0x' || substr(hex, i * 4 + 1, 4) AS INTEGER)), 16, '0'), '' ORDER BY i) AS bits FROM g, range(10) t(i) GROUP BY hex),
+  e AS (SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(('0b' || substr(bits, j * 5 + 1, 5)) AS INTEGER) + 1, 1), '' ORDER BY j) AS digest FROM b, range(32) t(j) GROUP BY hex)
+  SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = last OR last IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM p JOIN g USING (hex) JOIN e USING (hex)"""
