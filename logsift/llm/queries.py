@@ -169,3 +169,10 @@ ORACLES["op8_warc"] = """WITH p AS (SELECT page_id, coalesce(html, '') AS body,
   b AS (SELECT hex, string_agg(lpad(bin(CAST('0x' || substr(hex, i * 4 + 1, 4) AS INTEGER)), 16, '0'), '' ORDER BY i) AS bits FROM g, range(10) t(i) GROUP BY hex),
   e AS (SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(('0b' || substr(bits, j * 5 + 1, 5)) AS INTEGER) + 1, 1), '' ORDER BY j) AS digest FROM b, range(32) t(j) GROUP BY hex)
   SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = last OR last IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM p JOIN g USING (hex) JOIN e USING (hex)"""
+
+
+@query
+def op5_graph_dedup(spark, d):
+    from logsift.llm.graph_dedup import near_duplicates
+
+    return near_duplicates(table(spark, d, "embeddings"))
