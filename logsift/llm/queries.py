@@ -176,3 +176,17 @@ def op5_graph_dedup(spark, d):
     from logsift.llm.graph_dedup import near_duplicates
 
     return near_duplicates(table(spark, d, "embeddings"))
+
+
+@query
+def op2_hamming_search(spark, d):
+    """The 10 nearest by the signs of 64 components to every vector whose id is divisible by 50, among all others."""
+    from logsift.llm.hamming_search import nearest, sign_codes
+    from logsift.session import stored
+
+    codes = stored(sign_codes(table(spark, d, "embeddings"), "vec_id", "embedding", 64), "codes")
+    return nearest(codes, codes.where("id % 50 = 0"), 10, 64).withColumnRenamed("id", "vec_id")
+
+
+ORACLES["op2_hamming_search"] = """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: CAST((q.embedding[i] > 0) <> (e.embedding[i] > 0) AS INT))) AS INT) AS distance FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank FROM p) SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= 10"""
