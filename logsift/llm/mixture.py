@@ -76,13 +76,14 @@ def route(patterns: list[tuple[tuple, int]], wanted: dict, repeats: int) -> list
                 seen[kind, at] = came
                 if kind == "s":
                     if need[at] > 0:
-                        end = at
+                        end = (kind, at)
+                        break
                     queue += [("p", p, (kind, at)) for p in holders[at] if flow[p][at] > 0]
                 else:
                     queue += [("s", s, (kind, at)) for s in patterns[at][0]]
         if end is None:
             return flow
-        path = [("s", end)]
+        path, end = [end], end[1]
         while seen[path[-1]] is not None:
             path.append(seen[path[-1]])
         path.reverse()
