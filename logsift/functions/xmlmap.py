@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import xml.etree.ElementTree as ET
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -15,87 +16,111 @@ from pyspark.sql import types as T
 
 from logsift.fixed import WINDOWS_NAMESPACE, XML_ALIASES
 
-
-def _local(tag: str) -> str:
-    return tag.rpartition("}")[2] if tag.startswith("{") else tag
-
-
-def _value(node: ET.Element):
-    """A leaf is its text; anything with attributes or children is a dict."""
-    out = dict(node.attrib)
-    if not len(node):
-        text = (node.text or "").strip()
-        if not out:
-            return text
-        if text:
-            out["text"] = text
-        return out
-    for child in node:
-        name, value = _local(child.tag), _value(child)
-        if name.lower() == "data" and isinstance(value, dict) and "Name" in value:
-            out[value["Name"]] = value.get("text", "")
-        elif name not in out:
-            out[name] = value
-        elif isinstance(out[name], list):
-            out[name].append(value)
+#: For each name that may stand for a field: the fields, and how far down their lists it comes.
+_STANDS_FOR: dict[str, list[tuple[str, int]]] = {}
+for _field, _names in XML_ALIASES.items():
+    for _rank, _name in enumerate(_names):
+        _STANDS_FOR.setdefault(_name, []).append((_field, _rank))
+
+
+class _Open:
+    """An element that is being read. `members` has what its attributes and closed children give, by
+    name; `plain` the texts below each name, in document order, of names that came once."""
+
+    __slots__ = ("members", "plain", "children")
+
+    def __init__(self, attributes: dict[str, str]):
+        self.members: dict[str, object] = dict(attributes)
+        self.plain = {k: [(k, v)] for k, v in attributes.items()}
+        self.children = 0
+
+    def close(self, text: str) -> object:
+        """What the element stands for: its text, or its members if it has any."""
+        if not self.children and text:
+            if not self.members:
+                return text
+            self.members["text"] = text
+            self.plain["text"] = [("text", text)]
+        return self.members if self.members or self.children else ""
+
+    def take(self, name: str, value: object, child: _Open) -> None:
+        self.children += 1
+        if name.lower() == "data" and "Name" in child.members and isinstance(value, dict):
+            # An item that carries its own name: the last one of a name holds.
+            name, value = value["Name"], value.get("text", "")
+            self.members[name] = value
+            self.plain[name] = [(name, value)] if isinstance(value, str) else child.plain["text"]
+        elif name in self.members:
+            before = self.members[name]
+            self.members[name] = [*before, value] if isinstance(before, list) else [before, value]
+            self.plain[name] = []
         else:
-            out[name] = [out[name], value]
-    return out
-
-
-def _leaves(node: dict):
-    for key, value in node.items():
-        if isinstance(value, dict):
-            yield from _leaves(value)
-        elif not isinstance(value, list):
-            yield key, value
+            self.members[name] = value
+            self.plain[name] = [(name, value)] if isinstance(value, str) else list(child.found())
+
+    def found(self):
+        return chain.from_iterable(self.plain[name] for name in self.members)
+
+
+def read_members(text: str) -> tuple[object, list[tuple[str, str]]]:
+    """The root's value and the texts below it, in one pass over the parser's events."""
+    reader = ET.XMLPullParser(("start", "end"))
+    reader.feed(text)
+    reader.close()
+    way: list[_Open] = []
+    for event, element in reader.read_events():
+        if event == "start":
+            way.append(_Open(element.attrib))
+            continue
+        done = way.pop()
+        value = done.close((element.text or "").strip())
+        if way:
+            way[-1].take(element.tag.rpartition("}")[2] if element.tag[:1] == "{" else element.tag, value, done)
+    return value, list(done.found())
 
 
 def flatten(text: str | None) -> dict[str, str] | None:
-    """Null for text that is not well-formed XML."""
+    """The root's members, then texts from further down under names still free, then the fields that
+    some name stands for. Members with parts of their own become JSON. Null if it is not XML."""
     if text is None:
         return None
     try:
-        top = _value(ET.fromstring(text))
+        root, below = read_members(text)
     except Exception:
         return None
-    if not isinstance(top, dict):
-        return {"source_type": "xml", "content": top}
-    out = {"source_type": "xml", **top}
-    for key, value in _leaves(top):
-        out.setdefault(key, value)
-    for target, names in XML_ALIASES.items():
-        if target not in out:
-            plain = (out[n] for n in names if n in out and not isinstance(out[n], (dict, list)))
-            first = next(plain, None)
-            if first is not None:
-                out[target] = first
-    return {k: json.dumps(v, ensure_ascii=False) if isinstance(v, (dict, list)) else v for k, v in out.items()}
+    if isinstance(root, str):
+        return {"source_type": "xml", "content": root}
+    record: dict[str, object] = dict(reversed(below)) | {"source_type": "xml"} | root  # of equal names below, the first
+    best: dict[str, tuple[int, str]] = {}
+    for name in _STANDS_FOR.keys() & record.keys():
+        if isinstance(record[name], str):
+            for field, rank in _STANDS_FOR[name]:
+                best[field] = min(best.get(field, (rank, name)), (rank, name))
+    record = {field: record[name] for field, (_, name) in best.items()} | record
+    return {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in record.items()}
+
+
+#: Where a Windows event has its fixed parts: path, attribute (none: the text), field.
+_SYSTEM_PARTS = [
+    ("System/EventID", None, "event_type"), ("System/TimeCreated", "SystemTime", "timestamp"),
+    ("System/Computer", None, "hostname"), ("System/Provider", "Name", "application"),
+]
 
 
 def windows_event(text: str | None) -> dict[str, str | None] | None:
     """The known parts of a Windows event; its data items have '@' before their name."""
     if text is None:
         return None
+    space = {"": WINDOWS_NAMESPACE}
     try:
-        top = ET.fromstring(text)
+        event = ET.XML(text)
     except Exception:
         return {}
-    name = lambda tag: f"{{{WINDOWS_NAMESPACE}}}{tag}"
-    out: dict[str, str | None] = {}
-    system = top.find(name("System"))
-    for tag, attribute, field in () if system is None else (
-        ("EventID", None, "event_type"), ("TimeCreated", "SystemTime", "timestamp"),
-        ("Computer", None, "hostname"), ("Provider", "Name", "application"),
-    ):
-        node = system.find(name(tag))
-        if node is not None:
-            out[field] = node.get(attribute) if attribute else node.text
-    data = top.find(name("EventData"))
-    for node in () if data is None else data.findall(name("Data")):
-        if node.get("Name"):
-            out["@" + node.get("Name")] = node.text
-    return out
+    parts = [(field, event.find(path, space), attribute) for path, attribute, field in _SYSTEM_PARTS]
+    known = {field: at.text if attribute is None else at.get(attribute) for field, at, attribute in parts if at is not None}
+    data = event.find("EventData", space)
+    items = [] if data is None else data.iterfind("Data", space)
+    return known | {"@" + item.get("Name"): item.text for item in items if item.get("Name")}
 
 
 TEXT_MAP = T.MapType(T.StringType(), T.StringType())

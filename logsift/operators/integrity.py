@@ -44,18 +44,23 @@ def add_hashes(df: DataFrame) -> DataFrame:
 def _fold(rows: pd.DataFrame) -> pd.DataFrame:
     """Chain one segment: each hash covers the previous hash and the raw text."""
     rows = rows.sort_values("chain_pos", kind="stable")
-    previous, before, after = "", [], []
+    start = rows["_start"].iloc[0] if "_start" in rows.columns else None
+    previous, before, after = start if isinstance(start, str) else "", [], []
     for text in rows["_raw"]:
         before.append(previous or None)
         previous = hashlib.sha256((previous + text).encode("utf-8", "surrogatepass")).hexdigest()
         after.append(previous)
-    return rows.drop(columns="_raw").assign(previous_hash=before, chain_hash=after)
+    return rows.drop(columns=[c for c in ("_raw", "_start") if c in rows.columns]).assign(previous_hash=before, chain_hash=after)
 
 
 def chain_hash(df: DataFrame, keys: list[str], time: str, order: list[str], raw: str = "raw_event",
-               segment_rows: int = 10_000, slab_seconds: int = 3600) -> DataFrame:
+               segment_rows: int = 10_000, slab_seconds: int = 3600, start: DataFrame | None = None) -> DataFrame:
     """Per row: its chain key columns, `order` columns, chain_pos, chain_segment, previous_hash, chain_hash.
 
+    `start` is what `latest_chain_hash` gives for the stored events: each key then goes on at its next
+    position, in its last segment from the last hash. Segments are part of the stored format: they go
+    by position, so batches of any size make the same chain as one batch of all rows in their order.
+
     A chain is serial by nature, so a key's rows are cut by position into segments of at most
     `segment_rows`, each a chain of its own that starts from the empty hash; `seal_segments` then
     chains the segments. No task ever holds more than one segment, however many rows a key has.
@@ -63,9 +68,16 @@ def chain_hash(df: DataFrame, keys: list[str], time: str, order: list[str], raw:
     kept = [c for c in dict.fromkeys([*keys, *order])]
     narrow = df.select(*kept, F.col(time).alias("_time"), F.col(raw).alias("_raw"))
     placed = number_rows(narrow, keys, "_time", order, "chain_pos", slab_seconds)
+    placed = placed.withColumn("_start", F.lit(None).cast("string"))
+    if start is not None:
+        known = start.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("next_pos").alias("_next"), F.col("latest_chain_hash").alias("_hash"))
+        same = [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys]
+        placed = placed.join(known, same, "left").withColumn("chain_pos", F.col("chain_pos") + F.coalesce("_next", F.lit(0)))
+        goes_on = (F.floor(F.col("chain_pos") / segment_rows) == F.floor(F.col("_next") / segment_rows)) & (F.col("_next") % segment_rows > 0)
+        placed = placed.withColumn("_start", F.when(goes_on, F.col("_hash"))).drop("_next", "_hash", *[f"_s_{k}" for k in keys])
     placed = placed.withColumn("chain_segment", F.floor(F.col("chain_pos") / segment_rows)).drop("_time")
     schema = T.StructType(
-        [f for f in placed.schema.fields if f.name != "_raw"]
+        [f for f in placed.schema.fields if f.name not in ("_raw", "_start")]
         + [T.StructField("previous_hash", T.StringType()), T.StructField("chain_hash", T.StringType())]
     )
     return placed.groupBy(*keys, "chain_segment").applyInPandas(_fold, schema)
@@ -88,10 +100,23 @@ def seal_segments(chained: DataFrame, keys: list[str], segment_rows: int = 10_00
 
 
 def latest_chain_hash(events: DataFrame, keys: list[str]) -> DataFrame:
-    """The hash the next batch of each key continues from."""
-    return events.filter("chain_hash IS NOT NULL").groupBy(*keys).agg(
-        F.max_by("chain_hash", F.struct("created_at", "event_id")).alias("latest_chain_hash")
-    )
+    """The hash the next batch of each key continues from, and, where positions are stored, the position."""
+    rows = events.filter("chain_hash IS NOT NULL").groupBy(*keys)
+    if "chain_pos" in events.columns:
+        return rows.agg(F.max_by("chain_hash", "chain_pos").alias("latest_chain_hash"), (F.max("chain_pos") + 1).alias("next_pos"))
+    return rows.agg(F.max_by("chain_hash", F.struct("created_at", "event_id")).alias("latest_chain_hash"))
+
+
+def verify_chain(chained: DataFrame, sealed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, segment, rows, found, intact) for each segment of `seal_segments`: whether all its rows
+    are there and its last hash is the sealed one. A lost row or tail shows as fewer rows, a lost
+    segment as none."""
+    there = chained.groupBy(*keys, F.col("chain_segment").alias("segment")).agg(
+        F.count("*").alias("found"), F.max_by("chain_hash", "chain_pos").alias("last"))
+    there = there.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("segment").alias("_segment"), "found", "last")
+    same = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys] + [F.col("segment") == F.col("_segment")]
+    intact = (F.col("found") == F.col("rows")) & F.col("last").eqNullSafe(F.col("head"))
+    return sealed.join(there, same, "left").select(*keys, "segment", "rows", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce(intact, F.lit(False)).alias("intact"))
 
 
 def verify(events: DataFrame) -> DataFrame:

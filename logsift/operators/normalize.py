@@ -166,6 +166,19 @@ def validate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter("reject_reason IS NULL").drop("reject_reason"), checked.filter("reject_reason IS NOT NULL")
 
 
-def event_time(text: Column) -> Column:
-    """The free-text time as a timestamp where it is an ISO time, else null."""
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
+# Fixed value: the times of traditional syslog, which have no year.
+BSD_TIME = r"^([A-Z][a-z]{2}) +(\d{1,2} \d{2}:\d{2}:\d{2})$"
+
+
+def event_time(text: Column, stored: Column | None = None) -> Column:
+    """The free-text time as a timestamp where it is an ISO time, or a BSD time and `stored`, the time
+    of storage, is known; else null. A BSD time is of the year of storage, or of the year before if it
+    would lie more than a day after it."""
+    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
+    if stored is None:
+        return iso
+    day = F.regexp_replace(text, BSD_TIME, "$1 $2")
+    at = lambda year: F.try_to_timestamp(F.concat_ws(" ", year.cast("string"), day), F.lit("yyyy MMM d HH:mm:ss"))
+    year = F.year(stored)
+    late = F.coalesce(at(year) > stored + F.expr("INTERVAL 1 DAY"), F.lit(True))
+    return F.coalesce(iso, F.when(text.rlike(BSD_TIME) & stored.isNotNull(), F.when(late, at(year - 1)).otherwise(at(year))))

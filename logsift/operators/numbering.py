@@ -12,26 +12,32 @@ def micros(time: Column) -> Column:
 
 
 def number_rows(df: DataFrame, keys: list[str], time: str, order: list[str], out: str,
-                slab_seconds: int = 3600) -> DataFrame:
+                slab_seconds: int = 3600, part_rows: int = 100_000, part_chars: int = 6) -> DataFrame:
     """Add `out`: the 0-based position of a row within its key, by `time`, then `order`.
 
     Rows are sorted in (key, time slab) groups; the counts of the earlier slabs, which are
     aggregated before they are shuffled, give the offset. A key that holds a third of all rows is
-    thus spread over as many tasks as it has slabs. Rows without a time come first.
+    thus spread over as many tasks as it has slabs. Rows without a time come first; they are cut by
+    the first of `order`: a whole number in steps of `part_rows`, a text by its first `part_chars`
+    characters. `time` should be fine enough that one value has no large part of the rows; for rows
+    stored at one moment, name their number or their own time instead.
     """
     width = slab_seconds * 1_000_000
-    slab = F.coalesce(F.floor(micros(F.col(time)) / width), F.lit(-(2**62)))
-    rows = df.withColumn("_slab", slab)
-    counts = rows.groupBy(*keys, "_slab").agg(F.count("*").alias("_n"))
-    earlier = W.partitionBy(*keys).orderBy("_slab").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_slab", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = W.partitionBy(*keys, "_slab").orderBy(time, *order)
+    at = micros(F.col(time))
+    kind = dict(df.dtypes)[order[0]] if order else None
+    part = F.lit("")
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        step = F.floor(F.col(order[0]) / part_rows)
+        # As text in the order of the numbers: the sign, then 19 digits counted from the least.
+        part = F.coalesce(F.concat(F.when(step < 0, "-").otherwise("0"), F.lpad(F.when(step < 0, step + F.lit(2**62)).otherwise(step).cast("string"), 19, "0")), F.lit(""))
+    elif kind == "string":
+        part = F.coalesce(F.substring(order[0], 1, part_chars), F.lit(""))
+    rows = df.withColumn("_slab", F.coalesce(F.floor(at / width), F.lit(-(2**62)))).withColumn("_part", F.when(at.isNull(), part).otherwise(""))
+    counts = rows.groupBy(*keys, "_slab", "_part").agg(F.count("*").alias("_n"))
+    earlier = W.partitionBy(*keys).orderBy("_slab", "_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_slab", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(*keys, "_slab", "_part").orderBy(time, *order)
     placed = rows.withColumn("_rank", F.row_number().over(inside))
     # The offsets table is far smaller than the rows, but grows with them: no broadcast hint.
-    return placed.join(offsets, [*keys, "_slab"]).withColumn(
-        out, (F.col("_before") + F.col("_rank") - 1).cast("bigint")).drop("_slab", "_before", "_rank")
-
-
-def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    """Keys with more than `hot_rows` rows: at most rows / hot_rows of them, whatever the data."""
-    return df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(key)
+    return placed.join(offsets, [*keys, "_slab", "_part"]).withColumn(
+        out, (F.col("_before") + F.col("_rank") - 1).cast("bigint")).drop("_slab", "_part", "_before", "_rank")

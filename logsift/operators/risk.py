@@ -41,12 +41,15 @@ def analyze(events: DataFrame, rules: RuleSettings = RuleSettings(), anomalies:
             time: str = "event_ts", enabled: bool = True) -> DataFrame | None:
     """The analytics table: rules, rate anomaly and risk of every event; None when switched off.
 
-    Only the columns the rules read are carried through the two shuffles.
+    An event without a time of its own is judged by its time of storage, created_at, where the table
+    has that. Only the columns the rules read are carried through the two shuffles. Events should
+    come from a stored table: see `logsift.plans.pipeline.analyze_logs`.
     """
     if not enabled:
         return None
+    at = F.coalesce(time, "created_at") if "created_at" in events.columns else F.col(time)
     narrow = events.select(
-        "event_id", F.col(time).alias("event_ts"), "source_ip", "action", "event_type", "severity", "protocol",
+        "event_id", at.alias("event_ts"), "source_ip", "action", "event_type", "severity", "protocol",
         "destination_port", F.map_filter("extensions", lambda k, _v: k.isin("command", "process_command_line"))
         .alias("extensions"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from logsift import fixed
 from logsift.functions.arrays import kept
-from logsift.operators.numbering import hot_keys, micros
+from logsift.operators.numbering import micros
 
 
 @dataclass(frozen=True)
@@ -20,7 +20,6 @@ class RuleSettings:
     spike_threshold: int = fixed.SPIKE_THRESHOLD
     spike_seconds: int = fixed.SPIKE_WINDOW_SECONDS
     slab_seconds: int = 60
-    hot_rows: int = 2_000_000
 
 
 def auth_failure() -> Column:
@@ -34,23 +33,21 @@ def auth_failure() -> Column:
 
 
 def trailing_counts(df: DataFrame, key: str, time: str, event_id: str, counts: dict[str, tuple[Column, int]],
-                    slab_seconds: int = 60, hot_rows: int = 2_000_000) -> DataFrame:
+                    slab_seconds: int = 60) -> DataFrame:
     """Add one column per entry of `counts`: name -> (which rows count, window in seconds).
 
     The value is how many such rows of the same key lie in the trailing window, both ends
     included, up to and including this row; rows at the same time are taken in `event_id` order.
 
     Each counted row is +1 at its time and -1 once its window has passed, so a running sum is the
-    answer: one sort, no per-row rescan of the window. All windows share that one sort. Keys with
-    more than `hot_rows` rows are cut into time slabs, whose net sums, aggregated before they are
-    shuffled, are carried forward. Rows without key or time get null and are spread by a hash.
+    answer: one sort, no per-row rescan of the window. All windows share that one sort. Every key is
+    cut into time slabs, whose net sums, aggregated before they are shuffled, are carried forward, so
+    a key with most of the rows is many groups. Rows without key or time get null and are spread by
+    a hash.
     """
     placed = df.withColumn("_t", micros(F.col(time)))
     usable = (F.coalesce(F.col(key), F.lit("")) != "") & F.col("_t").isNotNull()
     placed = placed.withColumn("_ok", usable)
-    hot = hot_keys(df.filter(F.coalesce(F.col(key), F.lit("")) != ""), key, hot_rows)
-    # Size bound of the broadcast: at most (number of rows / hot_rows) keys.
-    placed = placed.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
 
     names = list(counts)
     for name in names:
@@ -72,16 +69,15 @@ def trailing_counts(df: DataFrame, key: str, time: str, event_id: str, counts: d
     width = slab_seconds * 1_000_000
     slab = (
         F.when(~F.col("_ok"), -1 - F.pmod(F.xxhash64(F.col(event_id)), F.lit(4096)))
-        .when(F.col("_hot"), F.floor(F.col("_s.at") / width)).otherwise(F.lit(0))
+        .otherwise(F.floor(F.col("_s.at") / width))
     )
     moves = moves.select(
-        F.col(key), F.col("_ok"), slab.alias("_slab"), F.coalesce(F.col("_hot"), F.lit(False)).alias("_hot"),
-        F.col("_s.at").alias("_at"), F.col("_s.step").alias("_step"), F.col(event_id).alias("_id"),
+        F.col(key), F.col("_ok"), slab.alias("_slab"), F.col("_s.at").alias("_at"), F.col("_s.step").alias("_step"), F.col(event_id).alias("_id"),
         *[F.col(f"_s.d_{n}").alias(f"_d_{n}") for n in names],
         *[F.when(is_event, F.col(c)).alias(c) for c in payload],
     )
     sums = [f"_d_{n}" for n in names]
-    net = moves.filter("_hot AND _ok").groupBy(key, "_slab").agg(*[F.sum(s).alias(s) for s in sums])
+    net = moves.filter("_ok").groupBy(key, "_slab").agg(*[F.sum(s).alias(s) for s in sums])
     earlier = W.partitionBy(key).orderBy("_slab").rowsBetween(W.unboundedPreceding, -1)
     carried = net.select(key, "_slab", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"{s}_b") for s in sums])
     inside = W.partitionBy(key, "_slab").orderBy("_at", "_step", "_id").rowsBetween(W.unboundedPreceding, 0)
@@ -101,7 +97,7 @@ def with_rule_counts(events: DataFrame, settings: RuleSettings = RuleSettings(),
         marked, "source_ip", time, "event_id",
         {"failed_count": (F.col("auth_failed"), settings.failed_login_seconds),
          "spike_count": (F.lit(True), settings.spike_seconds)},
-        settings.slab_seconds, settings.hot_rows,
+        settings.slab_seconds,
     )
 
 
@@ -110,7 +106,7 @@ def rule_failed_login(events: DataFrame, settings: RuleSettings = RuleSettings()
     failures = events.filter(auth_failure())
     counted = trailing_counts(failures, "source_ip", time, "event_id",
                               {"failed_count": (F.lit(True), settings.failed_login_seconds)},
-                              settings.slab_seconds, settings.hot_rows)
+                              settings.slab_seconds)
     return counted.filter(F.col("failed_count") >= settings.failed_login_threshold)
 
 
@@ -118,7 +114,7 @@ def rule_ip_spike(events: DataFrame, settings: RuleSettings = RuleSettings(), ti
     """Events of a source that has sent too many within the window."""
     counted = trailing_counts(events, "source_ip", time, "event_id",
                               {"spike_count": (F.lit(True), settings.spike_seconds)},
-                              settings.slab_seconds, settings.hot_rows)
+                              settings.slab_seconds)
     return counted.filter(F.col("spike_count") >= settings.spike_threshold)
 
 
@@ -150,7 +146,10 @@ def rule_suspicious_command(events: DataFrame) -> DataFrame:
 
 
 def apply_rules(counted: DataFrame, settings: RuleSettings = RuleSettings()) -> DataFrame:
-    """Add rule_matches, rule_reasons and detected to the output of `with_rule_counts`."""
+    """Add rule_matches, rule_reasons, detected and rule_command to the output of `with_rule_counts`.
+
+    The reason shows the beginning of a risky command; `rule_command` has the whole of it.
+    """
     text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     num = lambda c: F.col(c).cast("string")
     ip = F.col("source_ip")
@@ -170,5 +169,6 @@ def apply_rules(counted: DataFrame, settings: RuleSettings = RuleSettings()) ->
     # A field of an array of structs is the array of that field.
     return (
         found.withColumn("rule_matches", F.col("_hits.name")).withColumn("rule_reasons", F.col("_hits.reason"))
-        .withColumn("detected", F.size("_hits") > 0).drop("_hits")
+        .withColumn("detected", F.size("_hits") > 0)
+        .withColumn("rule_command", F.when(suspicious_command(), command_text())).drop("_hits")
     )

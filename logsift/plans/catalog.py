@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,12 +13,12 @@ from logsift.operators import risk, rules, search
 from logsift.operators.anomaly import AnomalySettings, rate_anomaly
 from logsift.operators.formats import default_registry
 from logsift.plans import checks, derive
-from logsift.plans.pipeline import accepted, process_logs
-from logsift.session import checkpoint_root, configure
+from logsift.plans.pipeline import accepted, analyze_logs, chain_events, process_logs
+from logsift.session import configure, new_folder, stored
 from logsift.sinks.forward import forward
-from logsift.sinks.tables import write_events
+from logsift.sinks.tables import write_analytics, write_events
 from logsift.sources import files
-from logsift.sources.tables import read_events, spread
+from logsift.sources.tables import read_analytics, read_events, spread
 from logsift.streaming.pipeline import start_pipeline
 from logsift.streaming.stateful import start_rate_anomaly, start_rules, streaming_chain, streaming_rules
 
@@ -480,7 +479,8 @@ def _search_sql(q: str) -> str:
 
 
 _GOOD = f"WITH {checks.parsed('mixed')}, good AS (SELECT e.*, l.event_ts AS stored_ts FROM events1 e JOIN logs l USING (event_id) WHERE reject_reason IS NULL)"
-_TS = "try_cast(CASE WHEN regexp_matches(timestamp, '^\\d{4}-\\d{2}-\\d{2}') THEN timestamp END AS TIMESTAMP)"
+_TS = """coalesce(try_cast(CASE WHEN regexp_matches(timestamp, '^\\d{4}-\\d{2}-\\d{2}') THEN timestamp END AS TIMESTAMP),
+  try_strptime(CASE WHEN regexp_matches(timestamp, '^[A-Z][a-z]{2} +\\d{1,2} \\d{2}:\\d{2}:\\d{2}$') THEN CAST(year(stored_ts) AS VARCHAR) || ' ' || timestamp END, '%Y %b %d %H:%M:%S'))"""
 
 
 @query("search_events", f"{_GOOD} SELECT event_id, parser, source_ip FROM good WHERE parser = 'json' AND action = 'login_failed' ORDER BY {_TS} DESC NULLS LAST, event_id LIMIT 20 OFFSET 20")
@@ -550,6 +550,27 @@ def filter_events(spark, d):
         search.filter_events(good, "— View").select("event_id"))
 
 
+# --- from raw logs to alerts --------------------------------------------------------------
+
+_LOGGED = f"""{checks.parsed('mixed')}, good AS (SELECT e.*, l.event_ts AS stored_ts FROM events1 e JOIN logs l USING (event_id) WHERE reject_reason IS NULL),
+  ev AS (SELECT event_id, coalesce({_TS}, stored_ts) AS event_ts, source_ip, action, event_type, severity, protocol, destination_port, CAST(NULL AS VARCHAR) AS command, CAST(NULL AS VARCHAR) AS process_command FROM good)"""
+
+
+@query("analyze_logs", f"WITH {checks.analyzed(LOGIN, LOGIN_S, SPIKE, SPIKE_S, BUCKET, Z, _LOGGED)} SELECT event_id, detected, anomaly, anomaly_score, risk_score, severity, array_to_string(names, ',') AS rule_matches, array_to_string(why, '; ') AS reasons FROM analytics")
+def analyze_logs_query(spark, d):
+    """All formats, half of them without a time of their own: these are judged by the time of storage."""
+    logs = derive.logs(spark, d).select("event_id", "raw_event", F.col("event_ts").alias("stored_at"))
+    found = analyze_logs(logs, _folder(spark, "events"), RULES, ANOMALY, ingest_time=F.col("stored_at"))
+    return found.withColumn("rule_matches", joined("rule_matches")).withColumn("reasons", joined("reasons", "; ")).drop("detections", "timestamp")
+
+
+@query("write_read_analytics", f"WITH {_ANALYZED} SELECT event_id, risk_score, severity, array_to_string(names, ',') AS rule_matches FROM analytics")
+def write_read_analytics(spark, d):
+    path = _folder(spark, "analytics")
+    write_analytics(_analytics(spark, d), path)
+    return read_analytics(spark, path).select("event_id", "risk_score", "severity", joined("rule_matches").alias("rule_matches"))
+
+
 # --- integrity ----------------------------------------------------------------------------
 
 @query("raw_hash", "SELECT doc_id, sha256(text) AS raw_hash FROM documents")
@@ -589,6 +610,33 @@ def chain_hash(spark, d):
     return _chained(spark, d)
 
 
+@query("chain_two_batches", f"{_CHAIN} SELECT chain_key, event_id, CAST(pos AS BIGINT) AS chain_pos, CAST(seg AS BIGINT) AS chain_segment, prev AS previous_hash, h AS chain_hash FROM chain")
+def chain_two_batches(spark, d):
+    """The second half in time goes on from the stored chain of the first: the same chain as in one batch."""
+    rows = derive.base(spark, d).select(F.col("kind").alias("chain_key"), "event_ts", F.col("id").alias("event_id"),
+                                        F.concat_ws("|", "props", "iso").alias("raw_event"))
+    middle = rows.agg(F.expr("percentile_approx(event_ts, 0.5)")).first()[0]
+    add = lambda part, start: integrity.chain_hash(part, ["chain_key"], "event_ts", ["event_id"], segment_rows=SEGMENT, slab_seconds=86400, start=start)
+    first = stored(add(rows.where(F.col("event_ts") < middle), None), "chain")
+    return first.unionByName(add(rows.where(F.col("event_ts") >= middle), integrity.latest_chain_hash(first, ["chain_key"])))
+
+
+@query("verify_chain", f"""{_CHAIN}, n AS (SELECT chain_key, seg, count(*) AS n, count(*) FILTER (NOT ((seg % 4 = 0 AND pos % {SEGMENT} = 7) OR (seg % 4 = 1 AND pos % {SEGMENT} >= 90) OR seg % 4 = 2)) AS found FROM chain GROUP BY ALL)
+  SELECT chain_key, CAST(seg AS BIGINT) AS segment, n AS "rows", found, found = n AS intact FROM n""")
+def verify_chain(spark, d):
+    """Of every four segments one has lost a row, one its tail, one is gone."""
+    whole, pos, turn = _chained(spark, d), F.col("chain_pos") % SEGMENT, F.col("chain_segment") % 4
+    lost = ((turn == 0) & (pos == 7)) | ((turn == 1) & (pos >= 90)) | (turn == 2)
+    return integrity.verify_chain(whole.where(~lost), integrity.seal_segments(whole, ["chain_key"], SEGMENT), ["chain_key"])
+
+
+@query("chain_events", f"{_CHAIN} SELECT chain_key, event_id, CAST(pos AS BIGINT) AS chain_pos, prev AS previous_hash, h AS chain_hash FROM chain")
+def chain_events_query(spark, d):
+    rows = derive.base(spark, d).select("kind", "event_ts", F.col("id").alias("event_id"), F.concat_ws("|", "props", "iso").alias("raw_event"))
+    return chain_events(rows, "kind", "event_ts", ["event_id"], segment_rows=SEGMENT, slab_seconds=86400).select(
+        "chain_key", "event_id", "chain_pos", "previous_hash", "chain_hash")
+
+
 @query("seal_segments", f"""{_CHAIN}, heads AS (SELECT chain_key, seg, h AS head FROM chain QUALIFY row_number() OVER (PARTITION BY chain_key, seg ORDER BY pos DESC) = 1),
   seals AS (SELECT chain_key, seg, head, sha256(head) AS seal FROM heads WHERE seg % {SEGMENT} = 0 UNION ALL SELECT p.chain_key, p.seg, p.head, sha256(s.seal || p.head) FROM seals s JOIN heads p ON p.chain_key = s.chain_key AND p.seg = s.seg + 1 AND p.seg % {SEGMENT} <> 0)
   SELECT chain_key, CAST(seg AS BIGINT) AS segment, head, seal FROM seals""")
@@ -737,8 +785,7 @@ def process_all(spark, d):
 # --- sources, sinks and streams ------------------------------------------------------------
 # What these write goes to a new folder below the shared folder the cluster names.
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_folder = new_folder
 
 
 @query("write_read_events", f"WITH {checks.parsed('mixed')}, good AS (SELECT * FROM events1 WHERE reject_reason IS NULL), {checks.scored('good')} SELECT event_id, parser, source_ip, quality_score, CAST(2 AS INT) AS hash_version, sha256(raw_event) AS raw_hash FROM scored")

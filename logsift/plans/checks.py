@@ -284,8 +284,8 @@ def anomaly_sql(bucket: int, z: float, history: int = 100, samples: int = 50) ->
 
 
 def ruled(login: int, login_s: int, spike: int, spike_s: int) -> str:
-    return f"""failures AS (SELECT * FROM ev WHERE {FAILED}),
-    counted AS (SELECT ev.*, {FAILED} AS failed, f.c AS fc, s.c AS sc FROM ev LEFT JOIN {trailing('failures', login_s)} f USING (event_id) LEFT JOIN {trailing('ev', spike_s)} s USING (event_id)),
+    return f"""located AS (SELECT * FROM ev WHERE coalesce(source_ip, '') <> ''), failures AS (SELECT * FROM located WHERE {FAILED}),
+    counted AS (SELECT ev.*, {FAILED} AS failed, f.c AS fc, s.c AS sc FROM ev LEFT JOIN {trailing('failures', login_s)} f USING (event_id) LEFT JOIN {trailing('located', spike_s)} s USING (event_id)),
     hits AS (SELECT event_id, severity, list_filter([
         CASE WHEN failed AND fc >= {login} THEN 'repeated_failed_login' END, CASE WHEN sc >= {spike} THEN 'source_ip_spike' END,
         CASE WHEN {ABNORMAL} THEN 'abnormal_destination_port' END, CASE WHEN {RISKY} THEN 'suspicious_command' END], lambda x: x IS NOT NULL) AS names,
@@ -296,8 +296,8 @@ def ruled(login: int, login_s: int, spike: int, spike_s: int) -> str:
         CASE WHEN {RISKY} THEN 'Suspicious command execution detected: ' || left({COMMAND}, 50) END], lambda x: x IS NOT NULL) AS why FROM counted)"""
 
 
-def analyzed(login: int, login_s: int, spike: int, spike_s: int, bucket: int, z: float) -> str:
-    return f"""{SEC}, {ruled(login, login_s, spike, spike_s)}, {anomaly_sql(bucket, z)},
+def analyzed(login: int, login_s: int, spike: int, spike_s: int, bucket: int, z: float, events: str = SEC) -> str:
+    return f"""{events}, {ruled(login, login_s, spike, spike_s)}, {anomaly_sql(bucket, z)},
     risked AS (SELECT event_id, len(names) > 0 AS detected, anomaly, anomaly_score, names, CASE WHEN anomaly THEN list_append(why, anomaly_reason) ELSE why END AS why,
       CAST(greatest(0, least(100, CASE lower(severity) WHEN 'critical' THEN 50 WHEN 'high' THEN 30 WHEN 'medium' THEN 15 WHEN 'low' THEN 5 ELSE 0 END + 20 * len(names)
         + CASE WHEN list_contains(names, 'repeated_failed_login') THEN 15 ELSE 0 END + CASE WHEN list_contains(names, 'suspicious_command') THEN 40 ELSE 0 END

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Set on every session. Repeated keys keep their last value and times are read as UTC. Constraint propagation compares every
+# Set on every session. Repeated keys, in JSON too, keep their last value and times are read as UTC. Constraint propagation compares every
 # computed column with every other one over many projections: planning a filter on a parsed event
 # would take minutes, while nothing here depends on the filters it could add. The Java compiler leaves
 # generated methods over 8000 bytes to its interpreter; Spark then does better with smaller ones (17 %
@@ -17,6 +17,7 @@ REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.constraintPropagation.enabled": "false",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -19,11 +19,12 @@ def read_analytics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ANALYTICS_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, splits: int = 8) -> DataFrame:
     """A small table read as fewer tasks than there are cores is dealt out to all of them.
 
     Parsing is heavy per row, and a file of one row group is one task. A table of many files is left
-    as it is, so no shuffle is added to a large job.
+    as it is, so no shuffle is added to a large job: at most `splits` splits of the reader are dealt
+    out, 1 GB at the usual split size, however many cores there are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, splits) else df

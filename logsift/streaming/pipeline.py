@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logsift.operators.formats import FormatRegistry
@@ -14,14 +15,17 @@ from logsift.sinks.tables import write_dead_letters
 def start_pipeline(logs: DataFrame, events_path: str, dead_path: str, checkpoint: str,
                    registry: FormatRegistry | None = None, available_now: bool = False,
                    id_parts: list[str] | None = None) -> StreamingQuery:
-    """Parse, validate, score and hash each micro-batch; store the events and the rejected logs.
+    """Store what `process_logs` makes of each micro-batch: parse, validate, score and hash each micro-batch; store the events and the rejected logs.
 
     A batch writes its own folder and replaces it when it is run again, and ids depend on the log
     alone, so a retry leaves no copies. Rejected logs are rejected again however often they are
     tried, hence go straight to the dead letters.
     """
+    if "event_id" not in logs.columns and not id_parts:
+        raise ValueError("name the columns an event id is made of: id_parts")
+
     def store(batch: DataFrame, number: int) -> None:
-        done = process_logs(batch, registry, id_parts).persist(StorageLevel.MEMORY_AND_DISK)
+        done = process_logs(batch, registry, id_parts, ingest_time=F.current_timestamp()).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             accepted(done).write.mode("overwrite").parquet(f"{events_path}/batch_id={number}")
             write_dead_letters(rejected(done), f"{dead_path}/batch_id={number}", mode="overwrite")

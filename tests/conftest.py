@@ -9,7 +9,8 @@ from logsift.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests", cores="4", **{"spark.sql.shuffle.partitions": "4"})
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session("tests", cores="4", **{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": shared})
     yield session
     session.stop()

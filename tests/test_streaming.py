@@ -9,7 +9,7 @@ from logsift.operators.anomaly import AnomalySettings, rate_anomaly
 from logsift.operators.rules import RuleSettings, with_rule_counts
 from logsift.streaming.stateful import start_rate_anomaly, start_rules, streaming_chain, streaming_rules
 
-SETTINGS = RuleSettings(failed_login_seconds=300, spike_seconds=120, hot_rows=50)
+SETTINGS = RuleSettings(failed_login_seconds=300, spike_seconds=120)
 SCHEMA = ("event_id string, event_ts timestamp, source_ip string, action string, event_type string, severity string, raw_event string")
 
 
