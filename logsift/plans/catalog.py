@@ -795,22 +795,12 @@ def write_read_events(spark, d):
     return read_events(spark, path).select("event_id", "parser", "source_ip", "quality_score", "hash_version", "raw_hash")
 
 
-FILE_LINES = 5000
-_FILES = _ASSEMBLE.replace("FROM lines)", f"FROM (SELECT file || '-' || CAST((line_no - 1) // {FILE_LINES} AS VARCHAR) AS file, (line_no - 1) % {FILE_LINES} + 1 AS line_no, line FROM lines))")
-
-
-@query("read_log_files", f"WITH {_FILES} SELECT file, line_no, line_count, raw_event FROM assembled")
+@query("read_log_files", f"WITH {_ASSEMBLE} SELECT file, line_no, line_count, raw_event FROM assembled")
 def read_log_files(spark, d):
-    """Each user's lines are written as files of at most FILE_LINES lines, read back line by line and
-    put together into events."""
+    """Each user's lines are written as one file, read back line by line and put together into events."""
     path = _folder(spark, "files")
-    cut = derive.lines(spark, d).select(
-        F.concat("file", F.lit("-"), F.floor((F.col("line_no") - 1) / FILE_LINES).cast("string")).alias("file"),
-        F.struct("line_no", "line").alias("l"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "")
-    # The writer ends a file with a line feed, so the last one of the text is left off.
-    per_file = cut.groupBy("file").agg(text.alias("text")).select("file", F.expr("left(text, length(text) - 1)").alias("text"))
-    per_file.write.partitionBy("file").text(path)
+    rows = derive.lines(spark, d).select("file", "line_no", F.expr("left(line, length(line) - 1)").alias("text"))
+    rows.repartition("file").sortWithinPartitions("file", "line_no").select("file", "text").write.partitionBy("file").text(path)
     lines, _refused = files.read_log_files(spark, path)
     name = F.regexp_extract("file", "file=([^/]+)/", 1)
     return assemble.assemble_events(lines.withColumn("file", name)).select(

@@ -199,3 +199,43 @@ def test_ids_repeat(spark):
     df = spark.createDataFrame([("f", 1, "x"), ("f", 2, "x")], "file string, pos int, raw_event string")
     a, b = [[r["event_id"] for r in normalize.assign_event_id(df, "file", "pos", "raw_event").collect()] for _ in range(2)]
     assert a == b and a[0] != a[1] and a[0].startswith("EVT-")
+
+
+def test_large_file_in_many_splits(spark, tmp_path):
+    """Over 5 MB, cut into splits, with every kind of line end and none at the end of the file."""
+    ends = ["\n", "\r\n", "\r", "\x0b", "\x1c", "\u2028"]
+    text = "".join(f"line {i} é{'x' * (i % 90)}{ends[i % 7 % 6]}" for i in range(90_000)) + "last"
+    assert len(text.encode()) > 5 << 20
+    (tmp_path / "big.log").write_bytes(text.encode())
+    (tmp_path / "small.txt").write_bytes(b"one\r\n\r\ntwo\r")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500k")
+    try:
+        lines, refused = read_log_files(spark, str(tmp_path))
+        got = {}
+        for r in lines.collect():
+            got.setdefault(r.file.rsplit("/", 1)[1], []).append((r.line_no, r.line))
+        assert refused.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [x for _, x in sorted(got["big.log"])] == text.splitlines(keepends=True)
+    assert [n for n, _ in sorted(got["big.log"])] == list(range(1, len(got["big.log"]) + 1))
+    assert sorted(got["small.txt"]) == [(1, "one\r\n"), (2, "\r\n"), (3, "two\r")]
+
+
+def test_storage_time_stands_in_for_a_missing_time(spark):
+    rows = [(f"e{i}", f"<42>Feb  3 04:05:{i:02d} barn7 src=198.51.100.9 act=login_failed") for i in range(8)]
+    logs = spark.createDataFrame([*rows, ("c", "CEF:0|Orchard|Lantern|4.2|77|Door|3|src=198.51.100.7"), ("j", '{"src": "198.51.100.7", "time": "2030-01-01T00:00:00Z"}')], "event_id string, raw_event string")
+    done = process_logs(logs, ingest_time=F.to_timestamp(F.lit("2031-01-15 00:00:00")))
+    got = {r.event_id: r.event_ts for r in done.collect()}
+    assert str(got["e3"]) == "2030-02-03 04:05:03" and got["c"] is None and str(got["j"]) == "2030-01-01 00:00:00"
+    from logsift.operators.risk import analyze
+    from logsift.session import new_folder
+    path = new_folder(spark, "events")
+    accepted(done).write.parquet(path)
+    found = {r.event_id: r for r in analyze(spark.read.parquet(path)).collect()}
+    assert "repeated_failed_login" in found["e7"].detections and str(found["c"].timestamp) == "2031-01-15 00:00:00"
+
+
+def test_ids_need_something_that_tells_logs_apart(spark):
+    with pytest.raises(ValueError):
+        process_logs(spark.createDataFrame([("x",)], "raw_event string"))
