@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsift.session import stored
@@ -15,6 +15,12 @@ BITMAP_BITS = 26
 _BLOCK = 16
 
 
+def arrow_batches(spark: SparkSession) -> None:
+    """Batches of a few MB between Spark and Python, so that tasks on long texts need little memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def bitmap(df: DataFrame, value: str, log2: int = BITMAP_BITS) -> np.ndarray:
     """The values of a column of hashes as a bitmap of 2^log2 bits, 8 MB by default, whatever the number of rows.
 

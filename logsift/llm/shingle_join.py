@@ -37,7 +37,7 @@ from logsift.session import stored
 
 WORDS, PERCENT = 5, 75
 FREQUENT, MAX_FREQUENT, LONG = 32, 1 << 20, 64
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 _SHORT_HASH = np.uint64(24)  # short lists are counted by the upper 40 bits
 
 
@@ -109,7 +109,7 @@ def _describe(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFr
             for node, found in zip(nodes, sets):
                 if len(found) and node not in seen:
                     seen.add(node)
-                    parts.append(found[:short_lists(len(found), percent)])
+                    parts.append(found[:short_lists(len(found), percent)].copy())
                     held += len(parts[-1])
             if held >= FLUSH:
                 yield flush()
