@@ -673,7 +673,7 @@ def verify_linkage(spark, d):
     return integrity.verify_linkage(kept, ["chain_key"]).select("event_id", "linked")
 
 
-@query("latest_chain_hash", f"{_CHAIN} SELECT chain_key, h AS latest_chain_hash FROM chain QUALIFY row_number() OVER (PARTITION BY chain_key ORDER BY pos DESC) = 1")
+@query("latest_chain_hash", f"{_CHAIN} SELECT chain_key, h AS latest_chain_hash, CAST(pos + 1 AS BIGINT) AS next_pos FROM chain QUALIFY row_number() OVER (PARTITION BY chain_key ORDER BY pos DESC) = 1")
 def latest_chain_hash(spark, d):
     times = derive.base(spark, d).select(F.col("id").alias("event_id"), F.col("event_ts").alias("created_at"))
     return integrity.latest_chain_hash(_chained(spark, d).join(times, "event_id"), ["chain_key"])
