@@ -13,8 +13,8 @@ document's sorted shingles by binary search, and the overlap is exact.
 3. Short lists are built in buckets of hashes. Tasks send packed numbers and name a node once. Lists up to `long` nodes
    give their pairs of fitting sizes, counted.
 4. Longer lists give no pairs. Their nodes are compared with one node of the list; what links is one component, and only
-   nodes outside the list's main component go on, to another node of it, and at the end to all nodes of other components
-   in the list. So a group of near copies costs its size and not the square, and no link between components is lost.
+   nodes outside the list's main component go on: in blocks, to all nodes of the main component and to each other, until no
+   link is new. So a group of near copies costs its size and not the square, and no link between components is lost.
 
 Shingles and sets are known by 64-bit hashes. Null and empty texts have no shingles and link with nothing; a text of fewer
 words than a shingle is one shingle. Rows of equal id with other texts are joined through their id only in that component_id
@@ -245,8 +245,49 @@ def probe(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int =
     return rows.mapInArrow(run, "a long, b long")
 
 
+def probe_blocks(members: DataFrame, queries: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = 1024) -> DataFrame:
+    """Links (a, b) between each query and the members of its pool that are in another component.
+
+    `members` is (pool, node, n, component), `queries` the same without n. Pools are dealt over blocks of about `block`
+    members and a million shingles; a query visits all blocks of its pool, and a component that it links to is not tried again.
+    """
+    blocks = members.groupBy("pool").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / (1 << 20))).cast("int").alias("blocks"))
+    held = members.join(blocks, "pool").select("pool", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "component")
+    asked = queries.join(blocks, "pool").select("pool", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "component")
+    rows = held.unionByName(asked).join(texts, "node").select("pool", "block", "role", "node", "component", "text")
+    rows = rows.repartition("pool", "block").sortWithinPartitions("pool", "block", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets, nodes, parts = None, [], [], []
+        joined = owner = sizes = part_of = None
+        for batch in slices(batches, "text"):
+            found: list[tuple[int, int]] = []
+            columns = [batch.column(c).to_pylist() for c in ("pool", "block", "role", "node", "component")]
+            for pool, number, role, node, part, own in zip(*columns, shingle_sets(batch.column("text"), words)):
+                if (pool, number) != at:
+                    at, sets, nodes, parts, joined = (pool, number), [], [], [], None
+                if not role:
+                    sets.append(own)
+                    nodes.append(node)
+                    parts.append(part)
+                    continue
+                if not sets or not len(own):
+                    continue
+                if joined is None:
+                    sizes = np.array([len(x) for x in sets])
+                    joined, owner, part_of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), np.array(parts)
+                place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+                both = np.bincount(owner, own[place] == joined, len(sets)).astype(np.int64)
+                close = np.flatnonzero((both * 100 >= percent * (sizes + len(own) - both)) & (part_of != part))
+                _, first = np.unique(part_of[close], return_index=True)
+                found += [(min(node, nodes[i]), max(node, nodes[i])) for i in close[first].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT,
-                       frequent: int = FREQUENT, long: int = LONG, rounds: int = 3, max_frequent: int = MAX_FREQUENT) -> DataFrame:
+                       frequent: int = FREQUENT, long: int = LONG, max_frequent: int = MAX_FREQUENT) -> DataFrame:
     """The documents with n_shingles and component_id, the smallest id reachable by links."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
@@ -288,28 +329,28 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
     links = stored(probe(first, texts, words, percent), "links")
     if not far.isEmpty():
-        far = stored(far, "far")
-        for turn in range(rounds + 1):
+        far = stored(far.select("node", "n", "h"), "far")
+        while True:
             known = components(links)
-            placed = far.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            per = placed.groupBy("h", "component").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n")).alias("p"))
-            main = per.groupBy("h").agg(F.max(F.struct("size", "component", "p")).alias("m"), F.count("*").alias("parts"))
-            main = main.where("parts > 1").select("h", F.col("m.component").alias("main"), F.col("m.p.node").alias("pivot"), F.col("m.p.n").alias("pn"))
-            outside = stored(placed.join(main, "h").where("component != main").select("h", "node", "n", "component", "pivot", "pn"), "outside")
+            placed = stored(far.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+            per = placed.groupBy("h", "component").agg(F.count("*").alias("size"))
+            main = per.groupBy("h").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts"))
+            main = main.where("parts > 1").select("h", F.col("m.component").alias("main"))
+            outside = stored(placed.join(main, "h").where("component != main"), "outside")
             if outside.isEmpty():
                 break
-            if turn < rounds:
-                pairs = outside.where(_fits("n", "pn", percent)).select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).distinct()
-            else:
-                # Shared long lists are counted here, shared short ones above: together the whole count.
-                other = placed.select("h", F.col("node").alias("onode"), F.col("n").alias("on"), F.col("component").alias("oc"))
-                met = outside.join(other, "h").where((F.col("component") != F.col("oc")) & _fits("n", "on", percent))
-                met = met.select(F.least("node", "onode").alias("x"), F.greatest("node", "onode").alias("y"), "h", F.when(F.col("node") < F.col("onode"), F.col("n")).otherwise(F.col("on")).alias("nx"),
-                                 F.when(F.col("node") < F.col("onode"), F.col("on")).otherwise(F.col("n")).alias("ny"))
-                met = met.groupBy("x", "y").agg(F.count_distinct("h").alias("c"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-                met = met.join(counted.select("x", "y", F.col("c").alias("sc")), ["x", "y"], "left")
-                pairs = met.where(_may_reach(F.col("nx"), F.col("ny"), F.col("c") + F.coalesce("sc", F.lit(0)), percent)).select("x", "y")
-            links = stored(links.unionByName(probe(stored(pairs, "pairs"), texts, words, percent)), "links")
+            # Against the main components of their lists, and, list by list, against each other.
+            nodes = placed.select("node", "n", "component").distinct()
+            heads = outside.select(F.col("main").alias("pool")).distinct()
+            members = nodes.withColumn("pool", F.col("component")).join(heads, "pool").select("pool", "node", "n", "component")
+            queries = outside.select(F.col("main").alias("pool"), "node", "component").distinct()
+            list_id = F.xxhash64("h")
+            groups = components(outside.select(F.col("node").alias("a"), list_id.alias("b")))
+            rest = outside.select("node", "n", "component").distinct().join(groups.select("node", F.xxhash64("component", F.lit("rest")).alias("pool")), "node").select("pool", "node", "n", "component")
+            found = stored(probe_blocks(members.unionByName(rest), queries.unionByName(rest.drop("n")), texts, words, percent), "links")
+            if found.isEmpty():
+                break
+            links = stored(links.unionByName(found).distinct(), "links")
 
     joined = described_docs.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = joined.withColumn("component", F.when(F.col("n") > 0, F.col("component")))
