@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SEGMENT = 1 << 18
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 MASK = (1 << 64) - 1
 
 
