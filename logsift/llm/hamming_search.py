@@ -58,9 +58,9 @@ def distance(a: str, b: str, words: int) -> Column:
     return bits
 
 
-def _probes(open_: DataFrame, words: int, segment: int, radius: int) -> DataFrame:
-    """(q, ub, segment, value): each open code's segments with every choice of `radius` bits flipped."""
-    masks = np.array([sum(1 << b for b in chosen) for chosen in combinations(range(segment), radius)], np.int64)
+def _probes(open_: DataFrame, words: int, segment: int, radii: list[int]) -> DataFrame:
+    """(q, ub, segment, value): each open code's segments with every choice of so many bits flipped."""
+    masks = np.array([sum(1 << b for b in chosen) for radius in radii for chosen in combinations(range(segment), radius)], np.int64)
     segments = words * 64 // segment
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +95,9 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int, bits: int, segment: in
     best = Window.partitionBy("q").orderBy("distance", "least")
     upto = best.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found, done = None, []
-    for radius in range(segment + 1):
+    for radius in range(1, segment + 1):  # the first round has no flip and one
         apart = distance("q", "code", words)
-        met = _probes(open_, words, segment, radius).join(index, ["segment", "value"]).where(apart <= F.col("ub"))
+        met = _probes(open_, words, segment, [radius] if radius > 1 else [0, 1]).join(index, ["segment", "value"]).where(apart <= F.col("ub"))
         met = met.select("q", "code", "least", "n", apart.alias("distance"))
         if found is not None:
             met = met.unionByName(found)
