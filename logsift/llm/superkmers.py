@@ -148,7 +148,8 @@ def repeated_ranges(docs: DataFrame, id: str, text: str, window: int = WINDOW, r
     cold = cold.repartition("mini").sortWithinPartitions("mini").mapInArrow(sort_and_count, out)
     often = moved.where("packed IS NULL").select("w1", "w2", "id", "text_hash", "start", "n")
     twice = often.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
-    return cold.unionByName(often.join(twice, ["w1", "w2"]).select(*out.names))
+    # Stored by itself, so that Spark can split the join where one window has very many rows.
+    return cold.unionByName(stored(often.join(twice, ["w1", "w2"]).select(*out.names), "windows"))
 
 
 def _travel(batch, schema, row, value, start, n, packed, w1, w2) -> pa.RecordBatch:
