@@ -104,8 +104,8 @@ def _worth(units: DataFrame, n: str, k: str, pn: str, pk: str, parent: list[str]
     """The outcomes a unit's prior is worth: 1 / rho - 1, rho from the mean squares between units of a parent and within units."""
     n, k, pn, pk = (F.col(c).cast("double") for c in (n, k, pn, pk))
     x = units.where(n > 0).agg(
-        F.count("*").alias("g"), F.count_distinct(*parent).alias("p"), F.sum(n).alias("n"), F.sum(n * (k / n - pk / pn) ** 2).alias("between"),
-        F.sum(k * (1 - k / n)).alias("within"), F.sum(n * n / pn).alias("squares")).first()
+        F.count("*").alias("g"), F.count_distinct(*parent).alias("p"), F.sum(n).alias("n"), F.sum(n * (F.try_divide(k, n) - F.try_divide(pk, pn)) ** 2).alias("between"),
+        F.sum(k * (1 - F.try_divide(k, n))).alias("within"), F.sum(F.try_divide(n * n, pn)).alias("squares")).first()
     if x.g <= x.p or x.n <= x.g:
         return settings.unknown
     between, within, typical = x.between / (x.g - x.p), x.within / (x.n - x.g), (x.n - x.squares) / (x.g - x.p)
