@@ -5,8 +5,8 @@
    are fitted on a bounded sample of nodes; every node is indexed.
 3. In each shard a graph is built by inserting nodes in growing batches: a greedy search from the medoid collects
    candidates, robust pruning keeps at most `degree` of them, and reverse edges are pruned alike.
-4. The shards' adjacency lists are united. Every node then searches its shards in the united graph, from the medoid; the beam
-   is doubled as long as half of it is in range.
+4. The shards' adjacency lists are united. Every node then searches its shards in the united graph, from the medoid; where half
+   of its beam is in range, the search expands through all nodes in range.
 5. Pairs found are verified by their cosine in double precision. Recall is audited against brute force over a sample of
    queries; below `recall` the search is done again with more overlap and wider beams.
 
@@ -171,23 +171,48 @@ def connect(unit: np.ndarray, edges: np.ndarray, start: int, beam: int) -> np.nd
 
 
 def in_range(unit: np.ndarray, edges: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each node the others that a range-expanding search finds at `least` or nearer: pairs (node, other)."""
+    """For each node the others that a range-expanding search finds at `least` or nearer: pairs (node, other).
+
+    A query of whose beam half or more is in range goes on from there: all nodes in range are followed, at once, as long as
+    they lead to others in range.
+    """
     n, start = len(unit), medoid(unit)
-    left, right, pending = [], [], np.arange(n)
+    left, right = [], []
     beam = min(beam, n)
-    while len(pending):
-        again = []
-        for i in range(0, len(pending), 512):
-            part = pending[i:i + 512]
-            ids, near = greedy(unit, edges, unit[part], start, beam)
-            hit = near >= least
-            wider = (hit.sum(axis=1) * 2 >= beam) & (beam < n)
-            again.append(part[wider])
-            row, col = np.nonzero(hit & ~wider[:, None])
+    # Edges both ways, by node: a node that is in no near list may still have near ones in its own.
+    a, b = np.nonzero(edges >= 0)
+    b = edges[a, b].astype(np.int64)
+    both = np.unique(np.concatenate([a * n + b, b * n + a]))
+    first, ends = np.searchsorted(both, np.arange(n + 1) * n), both % n
+    for i in range(0, n, 512):
+        part = np.arange(i, min(n, i + 512))
+        ids, near = greedy(unit, edges, unit[part], start, beam)
+        row, col = np.nonzero(near >= least)
+        node = ids[row, col].astype(np.int64)
+        left.append(part[row])
+        right.append(node)
+        wider = np.bincount(row, minlength=len(part)) * 2 >= beam
+        seen = np.zeros((len(part), n), bool)
+        seen[row, node] = True
+        row, node = row[wider[row]], node[wider[row]]
+        while len(row):
+            next_row, next_node = [], []
+            for j in range(0, len(row), 16384):
+                some = node[j:j + 16384]
+                many = first[some + 1] - first[some]
+                to = ends[np.repeat(first[some] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                at = np.repeat(row[j:j + 16384], many)
+                fresh = ~seen[at, to]
+                pair = np.unique(at[fresh] * n + to[fresh])
+                at, to = pair // n, pair % n
+                seen[at, to] = True
+                good = np.einsum("id,id->i", unit[part[at]], unit[to]) >= least
+                next_row.append(at[good])
+                next_node.append(to[good])
+            row, node = np.concatenate(next_row), np.concatenate(next_node)
             left.append(part[row])
-            right.append(ids[row, col])
-        pending, beam = np.concatenate(again), min(2 * beam, n)
-    left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+            right.append(node)
+    left, right = np.concatenate(left), np.concatenate(right)
     return left[left != right], right[left != right]
 
 
