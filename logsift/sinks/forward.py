@@ -38,7 +38,9 @@ def forward(payloads: DataFrame, sender: Sender, batch_rows: int = 500, retries:
 
     `payloads` has event_id; each row is sent as JSON text. Batches are cut inside a partition, so a
     task holds one batch at a time. Sending happens when the result is computed: write it once. A
-    lost task is run again, so the receiver may see an event twice; it can tell by event_id.
+    lost task is run again, so the receiver may see an event twice; it can tell by event_id. With a
+    receiver that is down every row waits out its attempts; give few `retries` or a short `backoff`
+    where that may happen.
     """
     rows = payloads.select("event_id", F.to_json(F.struct(*payloads.columns), {"ignoreNullFields": "false"}).alias("body"))
 

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, canonical
+from logsift.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,6 +21,7 @@ def duck():
 @pytest.mark.parametrize("name", [
     "process_logs", "analyze", "chain_hash", "assemble_events", "classify_documents", "detect_parser_documents",
     "suggest_mappings", "streaming_rules", "streaming_chain", "stream_events", "streaming_rate_anomaly", "read_csv_events",
+    "analyze_logs", "chain_two_batches", "verify_chain", "read_log_files",
 ])
 def test_query(spark, duck, name):
     got = entry.queries()[name](spark, SF).toArrow().to_pandas(integer_object_nulls=True)
@@ -30,4 +32,4 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_is_checked():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(catalog.ORACLES) == set(catalog.QUERIES)
