@@ -97,7 +97,9 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int, bits: int, segment: in
     found, done = None, []
     for radius in range(1, segment + 1):  # the first round has no flip and one
         apart = distance("q", "code", words)
-        met = _probes(open_, words, segment, [radius] if radius > 1 else [0, 1]).join(index, ["segment", "value"]).where(apart <= F.col("ub"))
+        probes = _probes(open_, words, segment, [radius] if radius > 1 else [0, 1])
+        # Probes look small to Spark, which knows only the size of the codes they are made of: without a hint it sends them to all tasks.
+        met = probes.hint("merge").join(index, ["segment", "value"]).where(apart <= F.col("ub"))
         met = met.select("q", "code", "least", "n", apart.alias("distance"))
         if found is not None:
             met = met.unionByName(found)
