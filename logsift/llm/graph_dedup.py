@@ -7,8 +7,11 @@
    candidates, robust pruning keeps at most `degree` of them, and reverse edges are pruned alike.
 4. The shards' adjacency lists are united. Every node then searches its shards in the united graph, from the medoid; where half
    of its beam is in range, the search expands through all nodes in range.
-5. Pairs found are verified by their cosine in double precision. Recall is audited against brute force over a sample of
-   queries; below `recall` the search is done again with more overlap and wider beams.
+5. Pairs found are verified by their cosine in double precision. Recall is audited in each part (label and length) against
+   brute force over a sample of queries; parts below `recall` are searched again with more overlap and wider beams.
+6. Parts still below it after `tries` searches, such as dense groups of many shards, are compared whole, in blocks of `block`
+   nodes: every pair is looked at, and counts and a spanning forest are kept instead of the pairs. That costs the square of
+   the part's nodes in products, and (nodes / `block`) copies of each node in the shuffle.
 
 A shard holds about `shard` nodes, more only if there would be over `centroids` shards; no group grows with copies of a
 vector. Vectors that are null, zero or hold null or non-finite components, and rows without a label, link with nothing;
@@ -24,7 +27,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +48,7 @@ class GraphSettings:
     recall: float = 0.98
     queries: int = 2000
     tries: int = 3
+    block: int = 4096
     seed: int = 5
 
 
@@ -349,8 +353,8 @@ def find_links(nodes: DataFrame, settings: GraphSettings = GraphSettings()) -> D
     return ready.groupBy("shard").applyInArrow(search, "a long, b long").distinct()
 
 
-def audit(nodes: DataFrame, links: DataFrame, settings: GraphSettings = GraphSettings()) -> tuple[int, int]:
-    """True links of a sample of at most `queries` nodes by brute force over all nodes in blocks, and how many are in `links`."""
+def audit(nodes: DataFrame, links: DataFrame, settings: GraphSettings = GraphSettings()) -> dict[int, tuple[int, int]]:
+    """By part, true links of a sample of at most `queries` nodes by brute force over all nodes in blocks, and how many are in `links`."""
     spark = nodes.sparkSession
     picked = nodes.select("node", "part", "v").orderBy(F.xxhash64("node", F.lit(settings.seed))).limit(settings.queries).collect()
     by: dict[int, tuple] = {}
@@ -363,7 +367,7 @@ def audit(nodes: DataFrame, links: DataFrame, settings: GraphSettings = GraphSet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, found = batch.column("part").to_numpy(), [np.zeros((0, 2), np.int64)]
+            parts, found = batch.column("part").to_numpy(), [np.zeros((0, 3), np.int64)]
             for part in np.unique(parts):
                 if int(part) not in shared.value:
                     continue
@@ -372,13 +376,67 @@ def audit(nodes: DataFrame, links: DataFrame, settings: GraphSettings = GraphSet
                 nodes, v = own.column("node").to_numpy(), _vectors(own, "v")
                 i, j = np.nonzero((v @ q.T) / (np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(q, axis=1)) >= least)
                 other = nodes[i] != ids[j]
-                found.append(np.stack([nodes[i][other], ids[j][other]], axis=1))
+                a, b = nodes[i][other], ids[j][other]
+                found.append(np.stack([np.full(len(a), part), np.minimum(a, b), np.maximum(a, b)], axis=1))
             pairs = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
-
-    true = nodes.select("part", "node", "v").mapInArrow(run, "a long, b long").distinct()
-    counted = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
-    return counted.n, counted.hits
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3)], ["part", "a", "b"])
+
+    true = nodes.select("part", "node", "v").mapInArrow(run, "part long, a long, b long").distinct()
+    counted = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").groupBy("part").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+    return {r.part: (r.n, r.hits) for r in counted.collect()}  # a part for each query at most
+
+
+def short_of(found: dict[int, tuple[int, int]], recall: float) -> Column | None:
+    """Which parts are to be done again: those below `recall`, and if all together are, also those without a true link in the
+    sample. None if there are none."""
+    short = [part for part, (n, hits) in found.items() if hits < recall * n]
+    if not short:
+        return None
+    if sum(hits for _, hits in found.values()) < recall * sum(n for n, _ in found.values()):
+        return ~F.col("part").isin([part for part in found if part not in set(short)])
+    return F.col("part").isin(short)
+
+
+def exact_links(nodes: DataFrame, settings: GraphSettings = GraphSettings()) -> DataFrame:
+    """(a, b, others) by comparing every two nodes of a part: rows without b have a share of the copies linked with a, to be
+    summed up; rows with b are links that join the same components as all links do."""
+    least, block = settings.least, settings.block
+    large = nodes.groupBy("part").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1")
+    dealt = nodes.join(F.broadcast(large), "part", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # nodes / block parts at most
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(settings.seed)), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "v", "copies")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        low, same = key[1].as_py(), key[1] == key[2]
+        nodes, v, own = table.column("node").to_numpy(), _vectors(table, "v"), table.column("own").to_numpy()
+        copies, size = table.column("copies").to_numpy().astype(np.float64), np.linalg.norm(v, axis=1)
+        rows = np.flatnonzero(own == low)
+        cols = rows if same else np.flatnonzero(own != low)
+        others, group, a, b = np.zeros(len(nodes)), np.arange(len(cols)), [], []
+        for i in range(0, len(rows) if len(cols) else 0, 512):
+            part = rows[i:i + 512]
+            hit = (v[part] @ v[cols].T) / (size[part][:, None] * size[cols]) >= least
+            if same:
+                hit[np.arange(len(part)), np.arange(i, i + len(part))] = False
+            others[part] += hit @ copies[cols]
+            if not same:
+                others[cols] += copies[part] @ hit
+            for k in np.flatnonzero(hit.any(axis=1)).tolist():
+                to = np.flatnonzero(hit[k])
+                joined, one = np.unique(group[to], return_index=True)
+                if same:
+                    one = one[joined != group[i + k]]
+                    joined = np.union1d(joined, group[i + k])
+                a.extend([nodes[part[k]]] * len(one))
+                b.extend(nodes[cols[to[one]]].tolist())
+                if len(joined) > 1:
+                    group[np.isin(group, joined)] = joined[0]
+        some = np.flatnonzero(others)
+        return pa.table({"a": pa.array(np.concatenate([nodes[some], np.array(a, np.int64)])), "b": pa.array([None] * len(some) + b, pa.int64()),
+                         "others": pa.array(np.concatenate([others[some].astype(np.int64), np.zeros(len(a), np.int64)]))})
+
+    return dealt.groupBy("part", "low", "high").applyInArrow(compare, "a long, b long, others long")
 
 
 def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", settings: GraphSettings = GraphSettings()) -> DataFrame:
@@ -386,14 +444,21 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     rows = stored(vector_nodes(vectors, id, vector, label), "vectors")
     good = rows.where("node IS NOT NULL")
     nodes = stored(good.groupBy("node").agg(F.first("part").alias("part"), F.first("v").alias("v"), F.count("*").alias("copies")), "nodes")
+    links, left = None, F.lit(True)
     for _ in range(settings.tries):
-        links = stored(find_links(nodes, settings), "links")
-        true, hits = audit(nodes, links, settings)
-        if hits >= settings.recall * true:
+        found = find_links(nodes.where(left), settings)
+        links = stored(found if links is None else links.unionByName(found).distinct(), "links")
+        short = short_of(audit(nodes.where(left), links, settings), settings.recall)
+        left = F.lit(False) if short is None else left & short
+        if short is None:
             break
         settings = replace(settings, overlap=settings.overlap + 1, beam=2 * settings.beam, degree=settings.degree + 8)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    others = both.join(nodes.where(~left).select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    if short is not None:
+        exact = stored(exact_links(nodes.where(left), settings), "exact")
+        others = others.unionByName(exact.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others")))
+        links = links.unionByName(exact.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     known = nodes.select("node", "copies").join(others, "node", "left").join(components(links), "node", "left")
     known = known.select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
     placed = rows.select("id", "node").join(known, "node", "left")

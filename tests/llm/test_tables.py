@@ -77,6 +77,27 @@ def test_near_duplicate_vectors(spark):
     assert graph_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_links_of_a_dense_group_are_whole(spark):
+    rng = np.random.default_rng(8)
+    center = rng.normal(size=16)
+    rows = [(i, (center + rng.normal(size=16) * 0.15).tolist(), 1) for i in range(700)]
+    rows += [(i, rows[i - 700][1], 1) for i in range(700, 720)] + [(i, rng.normal(size=16).tolist(), 2) for i in range(720, 760)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    settings = graph_dedup.GraphSettings(shard=40, sample=300, block=300)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in graph_dedup.near_duplicates(df, settings=settings).collect()}
+    v = np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    link = (v @ v.T >= 0.93) & (label[:, None] == label) & ~np.eye(len(v), dtype=bool)
+    for i in range(700, 720):  # equal vectors count as links, whatever rounding says
+        link[i, i - 700] = link[i - 700, i] = True
+    group = np.arange(len(v))
+    for _ in range(30):
+        group = np.array([min(group[i], group[link[i]].min(initial=len(v))) for i in range(len(v))])
+    assert link.sum() > 100_000
+    assert got == {i: (link[i].sum(), group[i]) for i in range(len(v))}
+
+
 def test_shard_graph_is_connected_and_pruned():
     rng = np.random.default_rng(9)
     unit = graph_dedup._unit(np.concatenate([rng.normal(size=(1, 8)) + rng.normal(size=(60, 8)) * 0.01 for _ in range(6)]))
