@@ -208,5 +208,43 @@ def test_toxicity_without_labels(spark):
     assert toxic_cnn.score(docs, toxic_cnn.train(docs, none)).first().score == 0.5
 
 
+def test_toxicity_thresholds_cover_all_labels(spark):
+    rng, rows, labels = np.random.default_rng(2), [], []
+    for i in range(3000):
+        bad, rare = i % 8 == 0, i % 10 < 1
+        text = [f"w{j}" for j in rng.integers(0, 300, 20)] + (["stupid"] if bad and i % 3 else [])
+        rows.append((i, " ".join(text), "fr" if rare else "en"))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    truth = spark.createDataFrame(labels, "doc_id long, toxic int")
+    settings = toxic_cnn.Training(per_class=100, epochs=3, least=15)
+    model = toxic_cnn.train(docs, truth, settings=settings)
+    assert set(model.thresholds) == {"en", "fr"}  # a fifth of the sample has some 2 toxic documents in French
+    got = toxic_cnn.score(docs, model).withColumn("held", toxic_cnn.held_out("doc_id")).collect()
+    used = {i for i, in _fitted(spark, docs, truth, settings)}
+    for name, threshold in model.thresholds.items():
+        own = [r for r in got if r.lang == name and not r.held]
+        toxic = np.array([labels[r.doc_id][1] for r in own])
+        scores, new = np.array([r.score for r in own]), np.array([r.doc_id not in used for r in own])
+        weight = np.where(toxic, toxic.sum() / (toxic & new).sum(), (1 - toxic).sum() / ((1 - toxic) & new).sum()) * new
+
+        def f1(limit):
+            hits = (weight * toxic * (scores >= limit)).sum()
+            return 2 * hits / ((weight * (scores >= limit)).sum() + (weight * toxic).sum())
+
+        assert f1(threshold) >= max(f1(s) for s in scores[new]) - 0.01
+
+
+def test_toxicity_scores_follow_the_share_of_all_labels():
+    alike = [(np.zeros((0, toxic_cnn.PIECES), np.int32), i % 2) for i in range(200)]
+    model = toxic_cnn.fit(alike, (900, 100))
+    assert model.scores(*toxic_cnn._together(alike[:1]))[0] == pytest.approx(0.1, abs=0.03)
+
+
+def _fitted(spark, docs, truth, settings):
+    fresh = truth.where(~toxic_cnn.held_out("doc_id") & ~toxic_cnn.spared("doc_id"))
+    return [(r.doc_id,) for value in (0, 1) for r in fresh.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id")).limit(settings.per_class).collect()]
+
+
 def test_best_threshold():
     assert toxic_cnn.best_threshold(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.55)
