@@ -7,7 +7,8 @@
 
 Step 3 sorts no pattern: words are summed by the first and then the second half of a 24-bit hash, and a document is in the
 rest if its hash is at most the pattern's cut. So a source with most of the rows is no large task. The driver gets one row
-per pattern; their number is bounded by `max_patterns`, beyond which the smallest patterns count as their first source.
+per pattern, and all patterns are routed; over 100,000 of them, or of sources, are an error. More than `max_patterns` are not
+broadcast to the documents but joined as Spark sees fit.
 
 A null source is a source, the last one. Null and empty texts have size 0 and are taken like others of their hash, at 0 words.
 Repeated rows are taken alike. An empty table gives no rows. New columns replace columns of the same names.
@@ -60,10 +61,10 @@ def route(patterns: list[tuple[tuple, int]], wanted: dict, repeats: int) -> list
         for s in members:
             holders.setdefault(s, []).append(p)
     used = [0] * len(patterns)
+    heap = [(0, p) for p, (_, n) in enumerate(patterns) if n and repeats > 0]
     while True:
-        # The cheapest pattern with words left from which a source in need can be reached; all moves cost nothing.
-        heap = [(used[p] // n, p) for p, (_, n) in enumerate(patterns) if n and used[p] < repeats * n]
-        heapq.heapify(heap)
+        # The cheapest pattern with words left from which a source in need can be reached; all moves cost nothing. A pattern
+        # from which none can be reached leaves for good: no later path passes what it reaches, as none would come out again.
         seen: dict = {}
         end = None
         while heap and end is None:
@@ -96,6 +97,8 @@ def route(patterns: list[tuple[tuple, int]], wanted: dict, repeats: int) -> list
             flow[p][s] -= amount
         used[first] += amount
         need[end] -= amount
+        if used[first] < repeats * n:
+            heapq.heappush(heap, (used[first] // n, first))
 
 
 @dataclass(frozen=True)
@@ -118,8 +121,9 @@ def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", size: str =
     marked = docs.withColumns({"__key": F.to_json(members), "__members": members, "__cell": F.conv(F.substring(digest, 1, 6), 16, 10).cast("int")})
     words = F.coalesce(F.col(size), F.lit(0)).cast("long")
 
-    sums = marked.groupBy("__key").agg(F.first("__members").alias("members"), F.sum(words).alias("n"))
-    few = sums.orderBy(F.size("members") == 1, F.desc("n"), "__key").limit(max_patterns).collect() if several else []
+    sums = marked.groupBy("__key").agg(F.first("__members").alias("members"), F.sum(words).alias("n")).limit(100_001).collect() if several else []
+    if len(sums) > 100_000:
+        raise ValueError("more than 100,000 patterns of sources; group the sources first")
     ones = (marked.where(F.size("__members") > 1).select(F.explode("__members").alias("s"), words.alias("n")).unionByName(
         marked.where(F.size("__members") == 1).select(F.col("__members")[0].alias("s"), words.alias("n"))) if several
         else marked.select(F.col("__members")[0].alias("s"), words.alias("n"))).groupBy("s").agg(F.sum("n").alias("n")).limit(100_001).collect()
@@ -128,13 +132,7 @@ def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", size: str =
     sizes = {r.s: r.n or 0 for r in ones}
     wanted = targets(sizes, weights, share, repeats)
     if several:
-        kept = {r["__key"]: (tuple(r.members), r.n or 0) for r in few if len(r.members) > 1}
-        keys = spark.createDataFrame([(k,) for k in kept], "__key string")
-        marked = marked.join(F.broadcast(keys.withColumn("__kept", F.lit(True))), "__key", "left").withColumn(
-            "__key", F.when(F.col("__kept"), F.col("__key")).otherwise(F.to_json(F.slice("__members", 1, 1)))).drop("__kept")
-        folded = {r["__key"]: r.n or 0 for r in marked.groupBy("__key").agg(F.sum(words).alias("n")).collect()}
-        names = {r.k: (r.s,) for r in spark.createDataFrame([(s,) for s in sizes], "s string").select(F.to_json(F.array("s")).alias("k"), "s").collect()}
-        rows = [(k, kept[k][0] if k in kept else names[k], n) for k, n in folded.items()]
+        rows = [(r["__key"], tuple(r.members), r.n or 0) for r in sums]
     else:
         rows = [(r.k, (r.s,), sizes[r.s]) for r in spark.createDataFrame([(s,) for s in sizes], "s string").select(F.to_json(F.array("s")).alias("k"), "s").collect()]
     rows.sort(key=lambda r: r[0])
@@ -143,7 +141,9 @@ def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", size: str =
     plan = spark.createDataFrame([(k, (t := sum(f.values())) // n if n else 0, t % n if n else 0, sizes[m[0]], float(wanted[m[0]]))
                                   for (k, m, n), f in zip(rows, flow)], "__key string, copies long, rest long, source_size long, target double")
     cuts = _cuts(marked.select("__key", "__cell", words.alias("n")), plan)
-    plan = F.broadcast(plan.join(cuts, "__key", "left"))  # a row per pattern, max_patterns and the sources at most
+    plan = plan.join(cuts, "__key", "left")  # a row per pattern
+    if not several or len(rows) <= max_patterns:
+        plan = F.broadcast(plan)
     extra = F.col("__cell") <= F.coalesce("__cut", F.lit(-1))
     out = marked.drop("copies", "source_size", "target", "taken").join(plan, "__key")
     out = out.withColumn("copies", F.col("copies") + extra.cast("long")).withColumn("taken", F.col("copies") * words)

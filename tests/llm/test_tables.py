@@ -195,6 +195,16 @@ def test_mix_of_overlapping_sources(spark):
         assert abs(sum(taken.values()) - made.documents.agg(F.sum("taken")).first()[0]) <= 200
 
 
+def test_mix_routes_all_patterns(spark):
+    rng = np.random.default_rng(3)
+    names = np.array(["a", "b", "c", "d"])
+    rows = [(i, names[rng.random(4) < 0.5].tolist() or ["a"], int(rng.integers(1, 30))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source array<string>, size long")
+    whole, few = mixture.mix(docs), mixture.mix(docs, max_patterns=1)
+    assert sorted(few.flow.collect()) == sorted(whole.flow.collect())
+    assert sorted((r.doc_id, r.copies, r.taken) for r in few.documents.collect()) == sorted((r.doc_id, r.copies, r.taken) for r in whole.documents.collect())
+
+
 def test_url_parts(spark):
     rows = [(None,), ("no scheme",), ("http://A.Example.ORG/Es/x?q#f",), ("a://b://c/d",), ("http://h?x/y",), ("http://É.com#z",), ("http://u@h.co.uk:80/p\nq",), ("http://10.0.0.1/",)]
     df = spark.createDataFrame(rows, "url string").withColumns({"host": url_reputation.url_host("url"), "path": url_reputation.url_path("url")})
