@@ -51,7 +51,7 @@ def _bare(host: Column) -> Column:
 
 
 def _last(suffixes: tuple[str, ...]) -> str:
-    return "((?:" + "|".join(s.replace(".", r"\.") for s in suffixes) + r")|[^.]+)$"
+    return "(" + "|".join([*(s.replace(".", r"\.") for s in suffixes), "[^.]+"]) + ")$"
 
 
 def url_suffix(host: str | Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
@@ -76,21 +76,23 @@ def rule_for(host: str, path: str, rules: list[tuple[str, str]]) -> Column:
     return found
 
 
-def host_reputation(outcomes: DataFrame, host: str = "host", good: str = "good", settings: Reputation = Reputation()) -> DataFrame:
-    """(host, domain, suffix, labelled, good, bound, verdict) for every host in `outcomes`; a null outcome is not labelled."""
+def host_reputation(outcomes: DataFrame, host: str = "host", good: str = "good", settings: Reputation = Reputation(),
+                    suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """(host, domain, suffix, labelled, good, bound, verdict) for every host in `outcomes`; a null outcome is not labelled.
+    `suffixes` are the public suffixes of more than one label."""
     counts = outcomes.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(
         F.count(F.col(good)).alias("n"), F.coalesce(F.sum(F.col(good).cast("long")), F.lit(0)).alias("k"))
-    hosts = stored(counts.select("host", url_domain("host").alias("domain"), url_suffix("host").alias("suffix"), "n", "k"), "hosts")
+    hosts = stored(counts.select("host", url_domain("host", suffixes).alias("domain"), url_suffix("host", suffixes).alias("suffix"), "n", "k"), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
-    every = suffixes.agg(F.coalesce(F.sum("sn"), F.lit(0)).alias("an"), F.coalesce(F.sum("sk"), F.lit(0)).alias("ak")).first()
+    ends = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
+    every = ends.agg(F.coalesce(F.sum("sn"), F.lit(0)).alias("an"), F.coalesce(F.sum("sk"), F.lit(0)).alias("ak")).first()
     mean = (every.ak + 1) / (every.an + 2)
     host_worth = _worth(hosts.join(domains, ["domain", "suffix"]), "n", "k", "dn", "dk", ["domain", "suffix"], settings)
-    domain_worth = _worth(domains.join(suffixes, "suffix"), "dn", "dk", "sn", "sk", ["suffix"], settings)
-    suffix_worth = _worth(suffixes.withColumns({"an": F.lit(every.an), "ak": F.lit(every.ak)}), "sn", "sk", "an", "ak", ["an"], settings)
+    domain_worth = _worth(domains.join(ends, "suffix"), "dn", "dk", "sn", "sk", ["suffix"], settings)
+    suffix_worth = _worth(ends.withColumns({"an": F.lit(every.an), "ak": F.lit(every.ak)}), "sn", "sk", "an", "ak", ["an"], settings)
 
-    suffixes = suffixes.withColumn("sm", (F.col("sk") + suffix_worth * mean) / (F.col("sn") + suffix_worth))
-    domains = domains.join(suffixes, "suffix").withColumn("dm", (F.col("dk") + domain_worth * F.col("sm")) / (F.col("dn") + domain_worth))
+    ends = ends.withColumn("sm", (F.col("sk") + suffix_worth * mean) / (F.col("sn") + suffix_worth))
+    domains = domains.join(ends, "suffix").withColumn("dm", (F.col("dk") + domain_worth * F.col("sm")) / (F.col("dn") + domain_worth))
     judged = hosts.join(domains.select("domain", "suffix", "dm"), ["domain", "suffix"])
     total = F.col("n") + host_worth
     rate = (F.col("k") + host_worth * F.col("dm")) / total
@@ -114,10 +116,11 @@ def _worth(units: DataFrame, n: str, k: str, pn: str, pk: str, parent: list[str]
     return 1 / min(max(rho, 1 / (1 + settings.strongest)), 1 / (1 + settings.weakest)) - 1
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], url: str = "url", settings: Reputation = Reputation()) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], url: str = "url", settings: Reputation = Reputation(),
+                suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """The pages with host, path, rule, verdict, labelled and good. `outcomes` has url and good, null where a page is not
     labelled; it should have all pages, since hosts that it lacks are judged by nothing and pass."""
-    known = host_reputation(outcomes.select(url_host(url).alias("host"), "good"), settings=settings)
+    known = host_reputation(outcomes.select(url_host(url).alias("host"), "good"), settings=settings, suffixes=suffixes)
     known = known.select(F.col("host").alias("__host"), F.col("verdict").alias("__verdict"), F.col("labelled").alias("__n"), F.col("good").alias("__k"))
     parts = pages.withColumns({"host": url_host(url), "path": url_path(url)}).withColumn("__rule", rule_for("host", "path", rules))
     out = parts.join(known, parts["host"] == known["__host"], "left")

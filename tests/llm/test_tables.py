@@ -213,6 +213,15 @@ def test_url_parts(spark):
                    ("É.com", "", "É.com", "com"), ("u@h.co.uk:80", "/p\nq", "h.co.uk", "co.uk"), ("10.0.0.1", "/", "10.0.0.1", "ip")]
 
 
+def test_url_suffixes_can_be_given(spark):
+    rows = [(f"http://www.{name}.com.mx/{i}", name == "good") for name in ("good", "bad") for i in range(40)] + [("http://few.good.com.mx/", None), ("http://few.bad.com.mx/", None)]
+    pages = spark.createDataFrame(rows, "url string, good boolean")
+    found = url_reputation.host_reputation(pages.select(url_reputation.url_host("url").alias("host"), "good"), suffixes=("com.mx",))
+    assert {r.host: (r.domain, r.suffix) for r in found.collect()}["few.bad.com.mx"] == ("bad.com.mx", "com.mx")
+    verdicts = {r.url: r.verdict for r in url_reputation.filter_urls(pages.select("url"), pages, [], suffixes=("com.mx",)).collect()}
+    assert verdicts["http://few.good.com.mx/"] == "allow" and verdicts["http://few.bad.com.mx/"] == "block"
+
+
 def test_url_rules_and_reputation(spark):
     rows = [(i, f"http://{h}/p/{i}", g) for i, (h, g) in enumerate(
         [("good.a.com", True)] * 60 + [("bad.a.com", False)] * 60 + [("new.b.net", None)] * 3 + [("x.example.org", False)] * 20 + [("few.a.com", True)])]
