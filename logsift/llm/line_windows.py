@@ -8,8 +8,8 @@ Lines are what stands between line feeds, compared byte by byte. A text of fewer
 Null text stays null, with 0 lines; the empty text has one empty line. Rows of one id and equal text are one document:
 neither is later than the other. Null ids come first. Extra columns stay; n_lines and n_removed replace columns of the names.
 
-Counts are partial before the shuffle and the join back to the windows can be split by Spark, so a window that a third of
-the documents share is no large task. What is gathered per document is no longer than the document.
+Counts are partial before the shuffle, and the repeated windows are stored, so that Spark can split the join back to all
+windows: a window that a third of the documents share is no large task. What is gathered per document is no longer than the document.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsift.llm.spans import line_spans, sequences, slices, span_hashes, text_bytes
+from logsift.session import stored
 
 WINDOW = 3
 
@@ -52,7 +53,7 @@ def remove_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text
     """The documents with what is left of `text`, and n_lines and n_removed."""
     windows = line_windows(docs, id, text, size)
     place = F.struct("id", "pos", "text_hash")
-    repeated = windows.groupBy("w1", "w2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
+    repeated = stored(windows.groupBy("w1", "w2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1"), "windows")
     later = windows.join(repeated, ["w1", "w2"]).where(~place.eqNullSafe(F.col("first")))
     covered = later.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("__pos")).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "__pos")
     docs = docs.drop("n_lines", "n_removed")

@@ -354,7 +354,9 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
     joined = described_docs.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = joined.withColumn("component", F.when(F.col("n") > 0, F.col("component")))
-    smallest = joined.where("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
+    # Both stored, so that Spark can split the join where one component has very many documents.
+    joined = stored(joined, "joined")
+    smallest = stored(joined.where("n > 0").groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
     answer = joined.join(smallest, "component", "left").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("n").alias("n_shingles"),
                                                               F.coalesce("component_id", "id").alias("component_id"))
     if {id, text} >= set(docs.columns):

@@ -1,7 +1,9 @@
 """Words and lines of whole Arrow text columns as numpy arrays: spans and 64-bit hashes, without a Python loop per word.
 
-A span's hash is a polynomial over its bytes modulo 2^64 with random byte values, taken from prefix sums, then mixed. Two
-lanes with other constants give 128 bits. The constants are fixed, so all workers agree.
+A span's hash is a polynomial over its bytes with random byte values, modulo the prime 2^31 - 1 at two random points, taken
+from prefix sums, then mixed. Over a prime field two spans of n bytes agree at a random point with a chance of at most n in
+2^31, whatever their bytes; modulo a power of two there are texts that agree at every point. A second lane has other
+points. The constants are fixed, so all workers agree.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ import pyarrow as pa
 
 SEGMENT = 1 << 18
 SLICE_BYTES = 2 << 20
-MASK = (1 << 64) - 1
+PRIME = (1 << 31) - 1
+_P, _BITS = np.uint64(PRIME), np.uint64(31)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,15 +47,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
 
 
 @lru_cache(maxsize=None)
-def _lane(lane: int, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    rng = np.random.default_rng(7919 + lane)
-    table = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+def _point(lane: int, fold: bool, point: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Byte values, powers of the point and of its inverse, and the point."""
+    rng = np.random.default_rng([7919, lane, point])
+    table = rng.integers(1, PRIME, 256).astype(np.uint64)
     if fold:
         table[65:91] = table[97:123]
-    base = (int(rng.integers(1 << 32, 1 << 62)) & ~7) | 3
-    powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(SEGMENT, base, np.uint64))])
-    inverse = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(SEGMENT, pow(base, -1, 1 << 64), np.uint64))])
-    return table, powers, inverse, base
+    base = int(rng.integers(1 << 20, PRIME))
+    return table, _powers(base), _powers(pow(base, -1, PRIME)), base
+
+
+def _powers(base: int) -> np.ndarray:
+    """The powers from 0 to SEGMENT, by doubling."""
+    out, step = np.ones(1, np.uint64), base
+    while len(out) <= SEGMENT:
+        out, step = np.concatenate([out, out * np.uint64(step) % _P]), step * step % PRIME
+    return out[:SEGMENT + 1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -61,30 +71,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _prefix(data: np.ndarray, at: list[np.ndarray], lane: int, fold: bool) -> list[np.ndarray]:
-    """The sums of value times power over all bytes before each position, for sorted arrays of positions."""
-    table, powers, _, base = _lane(lane, fold)
+def _prefix(data: np.ndarray, at: list[np.ndarray], table: np.ndarray, powers: np.ndarray, base: int) -> list[np.ndarray]:
+    """The sums, modulo the prime, of value times power over all bytes before each position, for sorted arrays of positions."""
     out = [np.zeros(len(x), np.uint64) for x in at]
-    total, scale, step = np.uint64(0), np.uint64(1), np.uint64(pow(base, SEGMENT, 1 << 64))
-    with np.errstate(over="ignore"):
-        for s in range(0, len(data) + 1, SEGMENT):
-            piece = data[s:s + SEGMENT]
-            sums = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum(table[piece] * powers[:len(piece)], out=sums[1:])
-            for x, o in zip(at, out):
-                i, j = np.searchsorted(x, [s, s + SEGMENT])
-                o[i:j] = total + scale * sums[x[i:j] - s]
-            total, scale = total + scale * sums[-1], scale * step
+    total, scale, step = 0, 1, pow(base, SEGMENT, PRIME)
+    for s in range(0, len(data) + 1, SEGMENT):
+        piece = data[s:s + SEGMENT]
+        terms = table[piece]
+        terms *= powers[:len(piece)]
+        high = terms >> _BITS
+        terms &= _P
+        terms += high  # below 2^32 each, so that a segment's sum stays below 2^50
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(terms, out=sums[1:])
+        for x, o in zip(at, out):
+            i, j = np.searchsorted(x, [s, s + SEGMENT])
+            o[i:j] = (np.uint64(total) + np.uint64(scale) * (sums[x[i:j] - s] % _P)) % _P
+        total, scale = (total + scale * (int(sums[-1]) % PRIME)) % PRIME, scale * step % PRIME
     return out
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0, fold: bool = False) -> np.ndarray:
     """A hash for each span of bytes; `fold` reads A-Z as a-z. Starts and ends are sorted."""
-    _, _, inverse, base = _lane(lane, fold)
-    before, upto = _prefix(data, [starts, ends], lane, fold)
-    far = [pow(base, -SEGMENT * i, 1 << 64) for i in range(len(data) // SEGMENT + 1)]
-    with np.errstate(over="ignore"):
-        return mix((upto - before) * inverse[starts % SEGMENT] * np.array(far, np.uint64)[starts // SEGMENT])
+    both = []
+    for point in range(2):
+        table, powers, inverse, base = _point(lane, fold, point)
+        before, upto = _prefix(data, [starts, ends], table, powers, base)
+        far = np.array([pow(base, -SEGMENT * i, PRIME) for i in range(len(data) // SEGMENT + 1)], np.uint64)
+        back = inverse[starts % SEGMENT] * far[starts // SEGMENT] % _P
+        both.append((upto + _P - before) % _P * back % _P)
+    return mix((both[0] << _BITS) | both[1])
 
 
 def _separators(chars: bytes) -> np.ndarray:

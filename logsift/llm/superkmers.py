@@ -70,6 +70,25 @@ def super_kmers(hashes: np.ndarray, first: np.ndarray, window: int, run: int) ->
     return starts, np.flatnonzero(ends) + 1 - starts, value[starts], places
 
 
+def repeated(w1: np.ndarray, w2: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which windows, packed at `starts` to `ends` of `raw`, are there twice or more: sorted by their hashes, then compared as
+    they are. Where equal hashes stand for different windows, the windows themselves are sorted."""
+    order = np.lexsort((w2, w1))
+    same = (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])
+    left, right = order[:-1][same], order[1:][same]
+    spans = zip(starts[left].tolist(), ends[left].tolist(), starts[right].tolist(), ends[right].tolist())
+    if not all(raw[a:b] == raw[c:d] for a, b, c, d in spans):
+        text = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        rank = {t: i for i, t in enumerate(sorted(set(text)))}
+        w3 = np.array([rank[t] for t in text])
+        order = np.argsort(w3, kind="stable")
+        same = w3[order][1:] == w3[order][:-1]
+        left, right = order[:-1][same], order[1:][same]
+    again = np.zeros(len(w1), bool)
+    again[left] = again[right] = True
+    return again
+
+
 def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
 
@@ -128,12 +147,8 @@ def repeated_ranges(docs: DataFrame, id: str, text: str, window: int = WINDOW, r
             n = table.column("n").to_numpy().astype(np.int64)
             row = np.repeat(np.arange(len(n)), n)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            w1, w2 = w1[first[row] + nth], w2[first[row] + nth]
-            order = np.lexsort((w2, w1))
-            same = (w1[order][1:] == w1[order][:-1]) & (w2[order][1:] == w2[order][:-1])
-            again = np.zeros(len(row), bool)
-            again[order[1:][same]] = True
-            again[order[:-1][same]] = True
+            word = first[row] + nth
+            again = repeated(w1[word], w2[word], data.tobytes(), starts[word], ends[word + window - 1])
             begins = again.copy()
             begins[1:] &= ~again[:-1] | (row[1:] != row[:-1])
             stops = again.copy()

@@ -40,6 +40,7 @@ def plan_records(pages: DataFrame, id: str = "page_id", url: str = "url", payloa
     rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).alias("url"), body.alias("payload"))
     rows = rows.withColumns({"sha1": F.sha1("payload"), "long": F.octet_length("payload") >= least})
     last = rows.where("long").groupBy(F.col("sha1").alias("same")).agg(F.max("id").alias("last"), F.count("*").alias("times")).where("times > 1")
+    last = stored(last, "last")  # so that Spark can split the join where one payload has very many records
     revisit = F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last"))
     joined = rows.join(last, (F.col("sha1") == F.col("same")) & F.col("long"), "left")
     return joined.select("id", "url", "payload", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"),

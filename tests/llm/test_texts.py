@@ -50,6 +50,39 @@ def test_span_hashes_tell_words_apart_and_ignore_place():
     assert spans.span_hashes(data, starts, ends, 1)[0] != plain[0]
 
 
+def thue_morse(n):
+    """Two words of n characters that are equal under every polynomial hash modulo 2^64 with an odd base, for n from 1,024 on."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_deceive_a_hash_modulo_a_power_of_two(spark, n):
+    one, two = thue_morse(n)
+    data, offsets = spans.text_bytes(pa.array([one, two]))
+    for lane in (0, 1):
+        a, b = spans.span_hashes(data, offsets[:-1], offsets[1:], lane)
+        assert a != b
+    rest = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{rest} {one}"), (2, f"{rest} {two}")], "doc_id long, text string")
+    for hot in (0, 10**6):
+        assert [r.n_removed for r in superkmers.remove_repeated_windows(docs, hot=hot).collect()] == [0, 0]
+    docs = spark.createDataFrame([(1, f"x\n{one}\ny"), (2, f"x\n{two}\ny")], "doc_id long, text string")
+    assert [r.n_removed for r in line_windows.remove_repeated_lines(docs).collect()] == [0, 0]
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert sorted(r.component_id for r in shingle_join.jaccard_components(docs).collect()) == [1, 2]
+
+
+def test_windows_of_equal_hashes_are_compared():
+    raw, starts, ends = b"a b a c", np.array([0, 2, 4, 6]), np.array([1, 3, 5, 7])
+    same, zero = np.zeros(4, np.uint64), np.zeros(4, np.uint64)
+    assert superkmers.repeated(same, zero, raw, starts, ends).tolist() == [True, False, True, False]
+    told = np.array([5, 6, 5, 7], np.uint64)
+    assert superkmers.repeated(told, zero, raw, starts, ends).tolist() == [True, False, True, False]
+
+
 def test_slices_keep_all_rows():
     batch = pa.RecordBatch.from_pydict({"t": ["a" * 10, None, "b" * 100, "", "c"]})
     cut = list(spans.slices(iter([batch]), "t", 12))
