@@ -196,3 +196,31 @@ def op2_hamming_search(spark, d):
 
 ORACLES["op2_hamming_search"] = """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: CAST((q.embedding[i] > 0) <> (e.embedding[i] > 0) AS INT))) AS INT) AS distance FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank FROM p) SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= 10"""
+
+
+@query
+def op11_vector_codes(spark, d):
+    from logsift.llm.vector_codes import compress
+
+    return compress(table(spark, d, "embeddings").select("vec_id", "embedding", "label")).rows.drop("label")
+
+
+def _codes_sql(rounds: int) -> str:
+    near = "list_sum(list_transform(range(1, 9), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT part, vec_id, label, v, e, dist FROM (SELECT p.part, p.vec_id, p.label, p.v, c.e, {near} AS dist FROM p JOIN c{r} c ON c.part = p.part) QUALIFY row_number() OVER (PARTITION BY part, vec_id ORDER BY dist, e) = 1)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT part, e, list(f ORDER BY i) AS v FROM (SELECT part, e, i, CAST(floor(CAST(sum(v[i]) AS DOUBLE) / count(*)) AS BIGINT) AS f FROM a{r}, range(1, 9) t(i) GROUP BY part, e, i) GROUP BY part, e)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.part, c.e, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON m.part = c.part AND m.e = c.e)")
+    return ", ".join(steps)
+
+
+ORACLES["op11_vector_codes"] = f"""WITH k AS (SELECT vec_id, label, embedding FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+  p AS MATERIALIZED (SELECT vec_id, label, part, list_transform(embedding[part * 8 + 1:part * 8 + 8], lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT)) AS v FROM k, range(8) t(part)),
+  c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, v FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 16)),
+  {_codes_sql(6)},
+  r AS (SELECT vec_id, label, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a6 GROUP BY vec_id, label),
+  s AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM r GROUP BY label),
+  b AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c6)
+  SELECT vec_id, code, error, label_error, codebooks_sha256 FROM r JOIN s ON r.label IS NOT DISTINCT FROM s.label, b"""
