@@ -224,3 +224,11 @@ ORACLES["op11_vector_codes"] = f"""WITH k AS (SELECT vec_id, label, embedding FR
   s AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM r GROUP BY label),
   b AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c6)
   SELECT vec_id, code, error, label_error, codebooks_sha256 FROM r JOIN s ON r.label IS NOT DISTINCT FROM s.label, b"""
+
+
+@query
+def op12_quality_trees(spark, d):
+    from logsift.llm.quality_trees import COUNTS, judge, train
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return judge(docs, train(docs, table(spark, d, "labels"))).select("doc_id", *COUNTS, "base_failed", "kept", "score")

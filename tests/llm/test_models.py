@@ -2,12 +2,15 @@
 
 import hashlib
 import math
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logsift.llm import vector_codes
+from logsift.llm import quality_trees, vector_codes
 
 
 def lloyd(rows, parts, entries, rounds, scale):
@@ -77,3 +80,76 @@ def test_trees_decide_as_comparing_all_does(leaf):
         if width == 3:
             owned = sum(int(np.diff(tree.ranges[at], axis=1).sum()) for at, _, points in vector_codes.walk(tree, entries) if points is None)
             assert owned >= 40  # the copies, at least, are a ball of their own
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def plain_counts(text):
+    text = text or ""
+    words = re.findall(WORD, text)
+    windows = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
+    times = Counter(windows)
+    covered = {p for i, w in enumerate(windows) if times[w] > 1 for p in range(i, i + 5)}
+    lines = [x for x in text.split("\n") if re.search(WORD, x)]
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
+
+
+TEXTS = [None, "", " \n\t ", "a", "a a a a a a", "one two three four five six one two three four five", "été # 漢字 $x<>|&%*\n\nété # 漢字 $x<>|&%*\nété # 漢字 $x<>|&%* \n", "x\ny\nx\ny\nx",
+         " ".join(f"w{i}" for i in range(5000)), "ab " * 40_000, "l\r\nl\r\nl", "word " * 9 + "end", "a b c d e f g h i j", "a b c d e f g h i j " * 2]
+
+
+def test_counts_of_texts(spark):
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(TEXTS)] * 2, "doc_id long, text string, n_words string, x int").repartition(2)
+    forest = quality_trees.fit(np.zeros((0, len(quality_trees.FEATURES))), np.zeros(0, bool), (0, 0))
+    got = quality_trees.judge(df, forest).collect()
+    assert len(got) == 2 * len(TEXTS) and all(r.x == 1 and r.score == 0.5 for r in got)
+    for r in got:
+        want = plain_counts(TEXTS[r.doc_id])
+        assert tuple(r[c] for c in quality_trees.COUNTS) == want
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and r.kept == (not r.base_failed)
+    assert quality_trees.judge(df.where("false"), forest).count() == 0
+
+
+def walk_down(forest, row):
+    odds = forest.base
+    for feature, limit, value in zip(forest.feature, forest.limit, forest.value):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + (2 if row[feature[node]] > limit[node] else 1)
+        odds += value[node - len(feature)]
+    return odds
+
+
+def test_trees_score_as_a_plain_walk_and_fall_where_they_must():
+    rng = np.random.default_rng(5)
+    x = rng.random((1500, len(quality_trees.FEATURES)))
+    at = {f: quality_trees.FEATURES.index(f) for f in quality_trees.FEATURES}
+    # The labels rise with a feature in which the score must fall, and depend on two others together.
+    good = (x[:, at["symbols"]] * 0.5 + (x[:, at["marks"]] > 0.5) * (x[:, at["distinct"]] > 0.3) - x[:, at["repeats"]] + rng.normal(0, 0.1, 1500)) > 0.2
+    forest = quality_trees.fit(x, good, (500, 1500), quality_trees.Boosting(trees=25))
+    odds = forest.odds(x)
+    assert np.allclose(odds[:200], [walk_down(forest, r) for r in x[:200]])
+    assert ((odds - forest.base + np.log(good.mean() / (1 - good.mean())) > 0) == good).mean() > 0.85
+    assert forest.base == math.log(3)
+    for f in quality_trees.FALLING:
+        moved = np.repeat(x[:60], 40, axis=0)
+        moved[:, at[f]] = np.tile(np.linspace(-0.1, 1.1, 40), 60)
+        assert (np.diff(forest.odds(moved).reshape(60, 40), axis=1) <= 1e-12).all()
+    free = quality_trees.FEATURES[0]
+    assert free not in quality_trees.FALLING
+
+
+def test_quality_of_held_out_documents(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    odd = spark.createDataFrame([(None, 1, 0), (1, None, 0), (10**9, 0, 0)], labels.schema)
+    forest = quality_trees.train(docs, labels.unionByName(odd).unionByName(labels))
+    again = quality_trees.train(docs.repartition(5), labels.repartition(3))
+    assert all(np.array_equal(a, b) for a, b in zip((forest.feature, forest.limit, forest.value), (again.feature, again.limit, again.value)))
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality_trees.judge(docs, forest).collect()}
+    tested = [r for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    good, bad = ([got[r.doc_id] for r in tested if r.quality == q] for q in (1, 0))
+    assert np.mean([k for f, k in good if not f]) >= 0.97  # clean documents stay
+    assert np.mean([not k for _, k in bad]) >= 0.7
+    assert quality_trees.train(docs, labels.where("quality = 1")).odds(np.zeros((1, 10)))[0] > 0
