@@ -232,3 +232,10 @@ def op12_quality_trees(spark, d):
 
     docs = table(spark, d, "documents").select("doc_id", "text")
     return judge(docs, train(docs, table(spark, d, "labels"))).select("doc_id", *COUNTS, "base_failed", "kept", "score")
+
+
+@query
+def op13_conversation_repair(spark, d):
+    from logsift.llm.conversation_repair import damage, repair
+
+    return repair(damage(table(spark, d, "conversations")), copies="copies").summary

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logsift.llm import quality_trees, vector_codes
+from logsift.llm import conversation_repair, quality_trees, vector_codes
 
 
 def lloyd(rows, parts, entries, rounds, scale):
@@ -153,3 +153,99 @@ def test_quality_of_held_out_documents(spark):
     assert np.mean([k for f, k in good if not f]) >= 0.97  # clean documents stay
     assert np.mean([not k for _, k in bad]) >= 0.7
     assert quality_trees.train(docs, labels.where("quality = 1")).odds(np.zeros((1, 10)))[0] > 0
+
+
+def spoilt(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if kind:
+            out += [(conv, turn, "user" if kind == 4 else role, "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text)] * (2 if kind == 3 else 1)
+    return out
+
+
+def plain_repair(rows):
+    """Cheapest edits from the end: the weight of what is left, from each row and state."""
+    rows = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2].encode(), r[3].encode()))
+    seen, faults = set(), []
+    for _, _, role, text in rows:
+        body = re.findall(r"[^\x20\x09-\x0D]", text)
+        faults.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else None)
+        seen.add((role, text))
+    best = {}
+    for i in range(len(rows), -1, -1):
+        for inserted in (2, 1, 0):  # more than two inserted turns in a row are never cheapest
+            for q in "^sua":
+                options = [(0, "", [])] if i == len(rows) and q in "^a" else []
+                wanted = "a" if q == "u" else "u"
+                if inserted < 2 and (i, inserted + 1, wanted) in best:
+                    c, a, out = best[i, inserted + 1, wanted]
+                    options.append((c + 2, "I" + a, [({"u": "user", "a": "assistant"}[wanted], ""), *out]))
+                if i < len(rows):
+                    _, _, role, text = rows[i]
+                    late = faults[i] == "truncated"
+                    choices = [(3, "D", q, [])]
+                    if faults[i] not in ("blank", "duplicate"):
+                        choices.append((2 + late, "R", wanted, [({"u": "user", "a": "assistant"}[wanted], text)]))
+                        if role[:1] in {"^": "su", "s": "u", "u": "a", "a": "u"}[q] and role:
+                            choices.append((late, "K", role[0], [(role, text)]))
+                    for cost, letter, to, made in choices:
+                        if (i + 1, 0, to) in best:
+                            c, a, out = best[i + 1, 0, to]
+                            options.append((c + cost, letter + a, [*made, *out]))
+                if options:
+                    best[i, inserted, q] = min(options, key=lambda o: o[:2])
+    cost, audit, out = best[0, 0, "^"]
+    turns = sorted({r[1] for r in rows if r[1] is not None})
+    initials = [r[2][:1] for r in rows]
+    return (turns[-1] - turns[0] + 1 - len(turns) if turns else 0, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"),
+            sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])), cost, audit,
+            hashlib.sha256("\n".join(f"{r}:{t}" for r, t in out).encode()).hexdigest()), out
+
+
+def conversations(seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for c in range(120):
+        for t in range(int(rng.integers(1, 9))):
+            role = str(rng.choice(["user", "assistant", "system", "tool", "", "Unknown", "unit"], p=[0.4, 0.35, 0.1, 0.05, 0.03, 0.04, 0.03]))
+            text = str(rng.choice(["Yes.", "no", "What?", " \n", "ok! ", "été", "a.b", "漢字。", ""]))
+            rows.append((c if c else None, None if rng.random() < 0.05 else int(t + (rng.random() < 0.1) * 5), None if rng.random() < 0.03 else role, None if rng.random() < 0.03 else text))
+    rows += rows[5:25]  # repeated rows
+    rows += [(500, t, ["user", "assistant"][t % 2], f"turn {t // 3}." if t % 5 else "again") for t in range(150)]  # a long one
+    rows += [(501, 7, "user", "copy")] * 100 + [(502, None, "assistant", None), (503, 1, "system", "Only."), (504, -(1 << 62), "user", "a."), (504, 1 << 62, "assistant", "b.")]
+    return rows
+
+
+@pytest.mark.parametrize("seed,limit,chars", [(0, 512, 1 << 22), (1, 3, 1 << 22), (2, 40, 30)])
+def test_conversation_repair(spark, seed, limit, chars):
+    rows = conversations(seed)
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, again string, part int").repartition(5)
+    done = conversation_repair.repair(conversation_repair.damage(df), copies="copies", rows=limit, chars=chars)
+    after = spoilt(rows)
+    want = {c: plain_repair([r for r in after if r[0] == c]) for c in {r[0] for r in rows}}
+    got = done.summary.collect()
+    assert len(got) == len(want) and {r.conv_id: tuple(r)[1:] for r in got} == {c: w[0] for c, w in want.items()}
+    turns = {}
+    for r in sorted(done.turns.collect(), key=lambda r: (r.part, r.no, r.n)):
+        turns.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert turns == {c: w[1] for c, w in want.items() if w[1]}
+    assert all(re.fullmatch("(s?(ua)+)?", "".join(r[0] for r, _ in t)) for t in turns.values())
+
+
+def test_conversation_repair_of_nothing(spark):
+    df = spark.createDataFrame([], "conv_id string, turn int, role string, text string")
+    done = conversation_repair.repair(conversation_repair.damage(df), copies="copies")
+    assert done.summary.count() == 0 and done.turns.count() == 0
+    plain = conversation_repair.repair(spark.createDataFrame([("c", 1, "assistant", "Hi.")], df.schema)).summary.collect()
+    assert [(r.cost, r.audit) for r in plain] == [(2, "IK")]
+
+
+def test_agenda_gives_items_in_order_of_weight():
+    rows = [conversation_repair.Row(i, role, text, 1, False) for i, (role, text) in enumerate([("assistant", "a."), ("user", "b"), ("user", "c."), ("system", "d.")])]
+    weights = list(conversation_repair.finalise([((0, 0), (0, ""))], lambda item, w: [((item[0] + 1, 0), (w[0] + 1, w[1] + "D"))] if item[0] < 4 else []).values())
+    assert weights == sorted(weights) and len(weights) == 5
+    whole = conversation_repair.derive(rows, conversation_repair.NOTHING, True)[conversation_repair.GOAL]
+    parts = conversation_repair.derive(rows, conversation_repair.NOTHING, False)
+    assert whole == min(parts[q] for q in (conversation_repair.NOTHING, conversation_repair.ASSISTANT)) and [q for q in parts] == sorted(parts, key=parts.get)
