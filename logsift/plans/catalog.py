@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from logsift import fixed
 from logsift.operators import aggregates, assemble, classify, combine, display, integrity, normalize, parse, quality
@@ -16,7 +17,7 @@ from logsift.plans import checks, derive
 from logsift.plans.pipeline import accepted, analyze_logs, chain_events, process_logs
 from logsift.session import configure, new_folder, stored
 from logsift.sinks.forward import forward
-from logsift.sinks.tables import write_analytics, write_events
+from logsift.sinks.tables import replace_events, write_analytics, write_events
 from logsift.sources import files
 from logsift.sources.tables import read_analytics, read_events, spread
 from logsift.streaming.pipeline import start_pipeline
@@ -532,12 +533,8 @@ def get_analytics(spark, d):
 @query("list_events", f"WITH {checks.SEC} SELECT event_id, row_number() OVER (ORDER BY event_ts DESC, event_id) - 1 AS n FROM ev")
 def list_events(spark, d):
     """The order is checked too: each row's place is read off the sorted partitions."""
-    from logsift.operators.numbering import number_rows
-
-    ev = derive.security_events(spark, d).withColumn("created_at", F.col("event_ts")).withColumn("one", F.lit(1))
-    listed = search.list_events(ev).select("one", "created_at", "event_id")
-    newest = listed.withColumn("back", F.timestamp_micros(-F.unix_micros("created_at")))
-    return number_rows(newest, ["one"], "back", ["event_id"], "n", slab_seconds=86400).select("event_id", "n")
+    ev = derive.security_events(spark, d).withColumn("created_at", F.col("event_ts"))
+    return _in_order(search.list_events(ev), "event_id")
 
 
 _LINE = "lower(event_id || ' ' || coalesce(nullif(source, ''), '—') || ' ' || coalesce(source_ip, '—') || ' — ' || coalesce(destination_ip, '—') || ' ' || coalesce(nullif(action, ''), '—') || ' ' || coalesce(nullif(severity, ''), '—') || ' ' || coalesce(parser, '—') || ' ' || " + _FORMAT + " || ' ' || raw_event)"
@@ -720,19 +717,47 @@ def mapping_records(spark, d):
     return out.select("approval_id", "format_prediction", F.size("suggestions").alias("suggestions"), "status")
 
 
-@query("apply_decisions", f"""WITH {checks.BASE}, dec AS (SELECT 'k' || (n % 97) AS approval_id, CASE WHEN kind = 'error' THEN 'rejected' ELSE 'approved' END AS decision, usr AS username, iso AS decided_at FROM base),
-  rec AS (SELECT 'k' || i AS approval_id, i FROM range(120) r(i))
-  SELECT approval_id, coalesce(arg_max(decision, decided_at), 'suggestion') AS status, arg_max(username, decided_at) FILTER (decision = 'approved') AS approved_by, max(decided_at) FILTER (decision = 'approved') AS approved_at,
-  arg_max(username, decided_at) FILTER (decision = 'rejected') AS rejected_by, max(decided_at) FILTER (decision = 'rejected') AS rejected_at FROM rec LEFT JOIN dec USING (approval_id) GROUP BY approval_id""")
-def apply_decisions(spark, d):
+_DECISIONS = """dec AS (SELECT 'E' || lpad(CAST(n // 2 AS VARCHAR), 12, '0') AS approval_id, CASE WHEN kind = 'error' THEN 'rejected' ELSE 'approved' END AS decision, usr AS username, iso AS decided_at FROM base),
+  decided AS (SELECT event_id AS approval_id, event_ts, coalesce(arg_max(decision, decided_at), 'suggestion') AS status, arg_max(username, decided_at) FILTER (decision = 'approved') AS approved_by, max(decided_at) FILTER (decision = 'approved') AS approved_at,
+  arg_max(username, decided_at) FILTER (decision = 'rejected') AS rejected_by, max(decided_at) FILTER (decision = 'rejected') AS rejected_at FROM logs LEFT JOIN dec ON dec.approval_id = logs.event_id GROUP BY event_id, event_ts)"""
+
+
+def _decided(spark, d) -> DataFrame:
+    """The records of all logs; the first half of them is decided, twice each."""
+    records = classify.mapping_records(derive.logs(spark, d).withColumn("created_at", F.col("event_ts")), "event_id")
     b = derive.base(spark, d)
-    decisions = b.select(F.concat(F.lit("k"), (F.col("n") % 97).cast("string")).alias("approval_id"),
+    decisions = b.select(F.concat(F.lit("E"), F.lpad(F.floor(F.col("n") / 2).cast("string"), 12, "0")).alias("approval_id"),
                          F.when(F.col("kind") == "error", "rejected").otherwise("approved").alias("decision"),
                          F.col("usr").alias("username"), F.col("iso").alias("decided_at"))
-    records = spark.range(120).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("approval_id"), F.lit("suggestion").alias("status"))
     return classify.apply_decisions(records, decisions)
 
 
+@query("apply_decisions", f"WITH {checks.logs('mixed')}, {_DECISIONS} SELECT approval_id, status, approved_by, approved_at, rejected_by, rejected_at FROM decided")
+def apply_decisions(spark, d):
+    return _decided(spark, d).select("approval_id", "status", "approved_by", "approved_at", "rejected_by", "rejected_at")
+
+
+def _in_order(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows of a sorted result with their place, read off the sorted partitions: the partition, then the row within it."""
+    placed = df.select(*columns, F.spark_partition_id().alias("_part")).withColumn("_row", F.monotonically_increasing_id())
+    placed = stored(placed, "sorted")
+    before = placed.groupBy("_part").agg(F.count("*").alias("_rows"), F.min("_row").alias("_first"))
+    at = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per partition
+    before = before.select("_part", "_first", F.coalesce(F.sum("_rows").over(at), F.lit(0)).alias("_before"))
+    return placed.join(before, "_part").withColumn("n", F.col("_before") + F.col("_row") - F.col("_first")).select(*columns, "n")
+
+
+@query("list_records", f"WITH {checks.logs('mixed')}, {_DECISIONS} SELECT approval_id, status, row_number() OVER (ORDER BY event_ts DESC, approval_id) - 1 AS n FROM decided")
+def list_records(spark, d):
+    """Newest first, as the sorted result has them."""
+    return _in_order(classify.list_records(_decided(spark, d)), "approval_id", "status")
+
+
+@query("get_record", f"WITH {checks.logs('mixed')}, {_DECISIONS} SELECT approval_id, status, approved_by, rejected_by FROM decided WHERE approval_id = 'E000000000123'")
+def get_record(spark, d):
+    return classify.get_record(_decided(spark, d), "E000000000123").select("approval_id", "status", "approved_by", "rejected_by")
+
+
 # --- joining and replacing ----------------------------------------------------------------
 
 @query("events_with_analytics", f"WITH {_ANALYZED} SELECT event_id, ev.source_ip, ev.action, ev.severity, a.risk_score, a.anomaly, array_to_string(a.names, ',') AS detections FROM ev LEFT JOIN (SELECT * FROM analytics WHERE risk_score > 20) a USING (event_id)")
@@ -795,6 +820,22 @@ def write_read_events(spark, d):
     return read_events(spark, path).select("event_id", "parser", "source_ip", "quality_score", "hash_version", "raw_hash")
 
 
+@query("rewrite_events", f"""WITH {checks.SEC} SELECT event_id, CASE WHEN n % 10 = 1 THEN 'newer' ELSE severity END AS severity, epoch_us(event_ts + CASE WHEN n % 10 = 1 AND n % 3 = 0 THEN INTERVAL 2 DAY ELSE INTERVAL 0 DAY END) AS at,
+  CAST(event_ts + CASE WHEN n % 10 = 1 AND n % 3 = 0 THEN INTERVAL 2 DAY ELSE INTERVAL 0 DAY END AS DATE) AS event_date FROM ev""")
+def rewrite_events(spark, d):
+    """Half of the events are stored, then all of them twice, then newer versions of a tenth, some on another day, and older
+    ones of another tenth, which change nothing."""
+    path = _folder(spark, "events")
+    ev = derive.security_events(spark, d).withColumn("raw_event", F.col("props")).withColumn("created_at", F.col("event_ts"))
+    hours = lambda n: F.expr(f"INTERVAL {n} HOURS")
+    newer = ev.where("n % 10 = 1").withColumns({"severity": F.lit("newer"), "created_at": F.col("created_at") + hours(1),
+                                                "event_ts": F.when(F.col("n") % 3 == 0, F.col("event_ts") + hours(48)).otherwise(F.col("event_ts"))})
+    older = ev.where("n % 10 = 2").withColumns({"severity": F.lit("older"), "created_at": F.col("created_at") - hours(1)})
+    for batch in (ev.where("n % 2 = 0"), ev, ev, newer.unionByName(older)):
+        replace_events(batch, path, ["created_at"])
+    return spark.read.parquet(path).select("event_id", "severity", F.unix_micros("event_ts").alias("at"), "event_date")
+
+
 @query("read_log_files", f"WITH {_ASSEMBLE} SELECT file, line_no, line_count, raw_event FROM assembled")
 def read_log_files(spark, d):
     """Each user's lines are written as one file, read back line by line and put together into events."""

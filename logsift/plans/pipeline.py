@@ -18,7 +18,7 @@ from logsift.operators.readings import with_readings
 from logsift.operators.risk import analyze
 from logsift.operators.rules import RuleSettings
 from logsift.schema import EVENT_SCHEMA
-from logsift.sinks.tables import write_events
+from logsift.sinks.tables import replace_events, table_exists, write_events
 from logsift.sources.tables import read_events
 
 EMPTY_LOG = "Log cannot be empty"
@@ -63,8 +63,13 @@ def process_logs(logs: DataFrame, registry: FormatRegistry | None = None, id_par
 def analyze_logs(logs: DataFrame, events_path: str, rules: RuleSettings = RuleSettings(), anomalies: AnomalySettings = AnomalySettings(),
                  registry: FormatRegistry | None = None, id_parts: list[str] | None = None, ingest_time: Column | None = None) -> DataFrame:
     """From raw logs to the analytics table. The accepted events are stored at `events_path` first, so
-    each log is parsed once and the analysis reads the few columns it needs."""
-    write_events(accepted(process_logs(logs, registry, id_parts, ingest_time if ingest_time is not None else F.current_timestamp())), events_path)
+    each log is parsed once and the analysis reads the few columns it needs. Where there is a table already,
+    the events replace those of the same ids: the same logs may be read again."""
+    events = accepted(process_logs(logs, registry, id_parts, ingest_time if ingest_time is not None else F.current_timestamp()))
+    if table_exists(logs.sparkSession, events_path):
+        replace_events(events, events_path, ["created_at"])
+    else:
+        write_events(events, events_path)
     return analyze(read_events(logs.sparkSession, events_path), rules, anomalies)
 
 

@@ -2,16 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from logsift.operators.combine import upsert_events
+from logsift.schema import EVENT_SCHEMA
+from logsift.session import stored
 
-def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
+DAY = "event_date"
+BLOCK_BYTES = 128 << 20
+
+
+def dated(events: DataFrame) -> DataFrame:
+    return events.withColumn(DAY, F.coalesce(F.to_date("event_ts"), F.to_date("created_at")))
+
+
+def write_events(events: DataFrame, path: str, mode: str = "append", block_bytes: int = BLOCK_BYTES) -> None:
     """Parquet by event date. Rows are rebalanced by date: small dates share a task, a date with very
-    many rows is split over several, so neither tiny files nor one huge task result."""
-    day = F.coalesce(F.to_date("event_ts"), F.to_date("created_at"))
-    dated = events.withColumn("event_date", day)
-    dated.hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date").parquet(path)
+    many rows is split over several, so neither tiny files nor one huge task result.
+
+    Within a date a file is ordered by source, and has Bloom filters of the two columns that events are
+    looked up by: a search for one event or one source skips the row groups that can't have it.
+    """
+    _write(dated(events), path, mode, block_bytes)
+
+
+def _write(rows: DataFrame, path: str, mode: str, block_bytes: int = BLOCK_BYTES, **options: str) -> None:
+    ordered = rows.hint("rebalance", DAY).sortWithinPartitions(DAY, "source_ip", "event_id")
+    writer = ordered.write.mode(mode).partitionBy(DAY).option("parquet.block.size", str(block_bytes))
+    for column in ("event_id", "source_ip"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.option("parquet.bloom.filter.adaptive.enabled", "true").options(**options).parquet(path)
+
+
+def replace_events(events: DataFrame, path: str, order: list[str], key: str = "event_id") -> list:
+    """Store the last version of each event: those of `events` replace stored ones of the same id, unless these are later.
+
+    `order` names the columns that tell which version is last; at equal order the new one is. Only the dates that have
+    an old or a new version of some event are written again, each one as a whole, and the dates' files change only when all
+    of it is ready; all other files stay as they are. Writing the same events again changes no row, so a job can be
+    repeated. The stored ids are found by reading two columns and the order. The driver gets the touched dates; they are returned.
+
+    One writer at a time: two that touch one date must not run together.
+    """
+    spark = events.sparkSession
+    rest = [f.name for f in EVENT_SCHEMA.fields if f.name in events.columns]
+    fresh = stored(dated(upsert_events(events.select(*rest), order, key)), "fresh")
+    if not table_exists(spark, path):
+        _write(fresh, path, "append")
+        return sorted((r[0] for r in fresh.select(DAY).distinct().collect()), key=str)
+    old = _stored_events(spark, path)
+    when = F.struct(*[F.col(c) for c in order])
+    there = old.select(F.col(key).alias("_key"), F.col(DAY).alias("_day"), when.alias("_when"))
+    met = stored(fresh.select(key, when.alias("_new")).join(there, F.col(key) == F.col("_key")).select(
+        key, "_day", (F.col("_when") > F.col("_new")).alias("later")), "met")
+    outdated = met.where("later").select(key).distinct()
+    winners = fresh.join(outdated, key, "left_anti")
+    left = met.join(outdated, key, "left_anti").select(F.col("_day").alias(DAY)).distinct()
+    touched = [r[0] for r in left.unionByName(winners.select(DAY)).distinct().collect()]
+    days = [d for d in touched if d is not None]
+    within = F.col(DAY).isin(days) if days else F.lit(False)
+    within = within | F.col(DAY).isNull() if None in touched else within
+    kept = old.where(within).join(winners.select(key), key, "left_anti")
+    result = stored(kept.unionByName(winners, allowMissingColumns=True), "replaced")
+    _write(result, path, "overwrite", partitionOverwriteMode="dynamic")
+    full = {r[0] for r in result.select(DAY).distinct().collect()}
+    for day in touched:
+        if day not in full:  # all its events have another date now
+            _delete(spark, f"{path}/{DAY}={'__HIVE_DEFAULT_PARTITION__' if day is None else day}")
+    return sorted(touched, key=str)
+
+
+def _stored_events(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*EVENT_SCHEMA.fields, T.StructField(DAY, T.DateType())])).parquet(path)
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def write_analytics(analytics: DataFrame, path: str, mode: str = "append") -> None:
