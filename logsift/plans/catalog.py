@@ -19,6 +19,8 @@ from logsift.session import configure, new_folder, stored
 from logsift.sinks.forward import forward
 from logsift.sinks.tables import replace_events, write_analytics, write_events
 from logsift.sources import files
+from logsift.sources.envelope_log import append_envelopes
+from logsift.sources.queue import stream_logs
 from logsift.sources.tables import read_analytics, read_events, spread
 from logsift.streaming.pipeline import start_pipeline
 from logsift.streaming.stateful import start_rate_anomaly, start_rules, streaming_chain, streaming_rules
@@ -911,6 +913,23 @@ def stream_dead_letters(spark, d):
     return spark.read.parquet(path + "-dead").select(F.col("payload.log").alias("log"), "error")
 
 
+@query("stream_logs", f"WITH {checks.logs('mixed')} SELECT event_id AS request_id, raw_event, CAST(n % 3 AS INT) AS attempts FROM logs WHERE trim(raw_event, {checks._BLANKS}) <> ''")
+def stream_logs_query(spark, d):
+    """Half of the messages are queued and read, a thousand a batch; then the rest is, and the stream goes on from its checkpoint."""
+    path = _folder(spark, "queue")
+    out = path + "-out"
+    logs = derive.logs(spark, d).select(F.col("event_id").alias("request_id"), F.col("raw_event").alias("log"), (F.unix_micros("event_ts") / 1e6).alias("timestamp"), (F.col("n") % 3).cast("int").alias("attempts"), "n")
+    for part in (0, 1):
+        append_envelopes(logs.where(F.col("n") % 2 == part), path)
+        stream = stream_logs(spark, "envelope_log", path, per_trigger=1000).writeStream.format("parquet")
+        running = stream.option("path", out).option("checkpointLocation", out + "-state").start()
+        try:
+            running.processAllAvailable()
+        finally:
+            running.stop()
+    return spark.read.parquet(out).select("request_id", "raw_event", "attempts")
+
+
 _COUNTS_SQL = f"WITH {checks.SEC}, failures AS (SELECT * FROM ev WHERE {checks.FAILED}) SELECT event_id, coalesce(f.c, 0) AS failed_count, s.c AS spike_count FROM ev LEFT JOIN {checks.trailing('failures', LOGIN_S)} f USING (event_id) JOIN {checks.trailing('ev', SPIKE_S)} s USING (event_id)"
 
 
