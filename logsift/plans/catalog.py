@@ -16,7 +16,7 @@ from logsift.operators.formats import default_registry
 from logsift.plans import checks, derive
 from logsift.plans.pipeline import accepted, analyze_logs, chain_events, process_logs
 from logsift.session import configure, new_folder, stored
-from logsift.sinks.forward import forward
+from logsift.sinks.forward import forward, payloads_of, read_receipts, register_forward
 from logsift.sinks.tables import replace_events, write_analytics, write_events
 from logsift.sources import files
 from logsift.sources.envelope_log import append_envelopes
@@ -877,6 +877,32 @@ def forward_events(spark, d):
     return forward(payloads, sender, retries=2, backoff=0)
 
 
+def _receiver():
+    """Takes no batches, refuses clicks and errors, and answers signups at the second call."""
+    busy: set[str] = set()
+
+    def sender(body):
+        if isinstance(body, list):
+            return 400
+        if '"signup"' in body and body not in busy:
+            busy.add(body)
+            return 429
+        busy.discard(body)
+        return 401 if '"click"' in body else 404 if '"error"' in body else 200
+
+    return sender
+
+
+@query("forward_source", f"WITH {checks.BASE} SELECT id AS event_id, kind NOT IN ('error', 'click') AS delivered, CAST(CASE kind WHEN 'signup' THEN 2 ELSE 1 END AS INT) AS calls FROM base")
+def forward_source(spark, d):
+    """Sent by a data source, whose receipts are read back."""
+    folder = _folder(spark, "receipts")
+    register_forward(spark, "forward_query", _receiver(), retries=2, backoff=0)
+    payloads = derive.base(spark, d).select(F.col("id").alias("event_id"), "kind", "src")
+    payloads_of(payloads).write.format("forward_query").mode("append").option("receipts", folder).save()
+    return read_receipts(spark, folder)
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
