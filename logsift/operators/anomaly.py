@@ -84,16 +84,18 @@ def rate_anomaly(events: DataFrame, settings: AnomalySettings = AnomalySettings(
     count = F.col("_before") + F.col("_r")
     scored = ranked.withColumn("_z", F.when(
         (F.col("samples") >= settings.min_samples) & (F.col("sd") > 0), (count - F.col("mean")) / F.col("sd")))
-    hit = F.coalesce(F.col("_z") >= settings.zscore, F.lit(False))
-    score = F.bround(F.least(F.lit(1.0), F.lit(0.5) + (F.col("_z") - settings.zscore) * F.lit(0.1)), 2)
+    return judged(scored, settings, "sd", "_z").select(*events.columns, "anomaly", "anomaly_score", "anomaly_reason")
+
+
+def judged(scored: DataFrame, settings: AnomalySettings, sd: str, z: str) -> DataFrame:
+    """Add anomaly, anomaly_score and anomaly_reason from bucket, samples, the spread and the z-score (null if there is none)."""
+    hit = F.coalesce(F.col(z) >= settings.zscore, F.lit(False))
+    score = F.bround(F.least(F.lit(1.0), F.lit(0.5) + (F.col(z) - settings.zscore) * F.lit(0.1)), 2)
     reason = (
         F.when(F.col("bucket").isNull(), F.lit(""))
         .when(F.col("samples") < settings.min_samples, fixed.REASON_NO_BASELINE)
-        .when(F.col("sd") == 0, fixed.REASON_FLAT_BASELINE)
-        .when(hit, F.format_string("Event rate is %.2f standard deviations above baseline", F.col("_z")))
+        .when(F.col(sd) == 0, fixed.REASON_FLAT_BASELINE)
+        .when(hit, F.format_string("Event rate is %.2f standard deviations above baseline", F.col(z)))
         .otherwise("")
     )
-    return scored.select(
-        *events.columns, hit.alias("anomaly"), F.when(hit, score).otherwise(0.0).alias("anomaly_score"),
-        reason.alias("anomaly_reason"),
-    )
+    return scored.select("*", hit.alias("anomaly"), F.when(hit, score).otherwise(0.0).alias("anomaly_score"), reason.alias("anomaly_reason"))

@@ -22,8 +22,9 @@ from logsift.sources import files
 from logsift.sources.envelope_log import append_envelopes
 from logsift.sources.queue import stream_logs
 from logsift.sources.tables import read_analytics, read_events, spread
-from logsift.streaming.pipeline import start_pipeline
-from logsift.streaming.stateful import start_rate_anomaly, start_rules, streaming_chain, streaming_rules
+from logsift.streaming.keyed import streaming_rate_events, streaming_rules
+from logsift.streaming.pipeline import once, start_pipeline, with_analytics
+from logsift.streaming.stateful import start_chain, start_rate_anomaly, start_rules, streaming_chain
 
 # Thresholds under which the sparse events table has rows on both sides.
 LOGIN, LOGIN_S, SPIKE, SPIKE_S, BUCKET, Z = 3, 3 * 86400, 12, 3 * 86400, 3600, 2.5
@@ -994,3 +995,68 @@ def streaming_rate_anomaly(spark, d):
     ev = _stream_base(spark, d).select("event_ts")
     start_rate_anomaly(ev, path, path + "-state", ANOMALY, available_now=True).awaitTermination()
     return spark.read.parquet(path).select("bucket", "n", "anomaly")
+
+
+def _arriving(spark: SparkSession, rows: DataFrame, time: str = "event_ts", parts: int = 6) -> DataFrame:
+    """The rows as a stream of as many micro-batches, in the order of their times."""
+    path, rows = _folder(spark, "arriving"), stored(rows, "rows")
+    cuts = rows.agg(F.percentile_approx(time, [i / parts for i in range(1, parts)]).alias("c")).first()["c"] or []
+    part = sum([(F.col(time) >= F.lit(c)).cast("int") for c in cuts], F.lit(0))
+    for i in range(parts):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+_HOT = "CASE WHEN n % 3 = 0 THEN '10.9.9.9' ELSE source_ip END AS source_ip"
+
+
+@query("streaming_rules_batches", f"WITH {checks.BASE}, raw AS ({derive.EVENTS}), ev AS (SELECT * REPLACE ({_HOT}) FROM raw), failures AS (SELECT * FROM ev WHERE {checks.FAILED}) SELECT event_id, coalesce(f.c, 0) AS failed_count, s.c AS spike_count FROM ev LEFT JOIN {checks.trailing('failures', LOGIN_S)} f USING (event_id) JOIN {checks.trailing('ev', SPIKE_S)} s USING (event_id)")
+def streaming_rules_batches(spark, d):
+    """Six micro-batches; one source has a third of all events, and half of them only a time of storage."""
+    ev = derive.security_events(spark, d).select(
+        "event_id", F.when(F.col("n") % 3 == 0, "10.9.9.9").otherwise(F.col("source_ip")).alias("source_ip"), "action", "event_type", "severity",
+        F.when(F.col("n") % 2 == 0, F.col("event_ts")).alias("event_ts"), F.col("event_ts").alias("created_at"))
+    counted = streaming_rules(_arriving(spark, ev, "created_at"), RULES)
+    return _run(spark, counted, "rules").select("event_id", "failed_count", "spike_count")
+
+
+@query("streaming_rate_events", f"WITH {checks.SEC}, {checks.anomaly_sql(BUCKET, Z)} SELECT event_id, anomaly, anomaly_score, anomaly_reason FROM anom")
+def streaming_rate_events_query(spark, d):
+    """Each event judged as it arrives, in six micro-batches."""
+    ev = derive.base(spark, d).select(F.col("id").alias("event_id"), "event_ts")
+    return _run(spark, streaming_rate_events(_arriving(spark, ev), ANOMALY), "rates").select("event_id", "anomaly", "anomaly_score", "anomaly_reason")
+
+
+@query("streaming_chain_segments", f"{_CHAIN} SELECT chain_key, event_id, CAST(pos AS BIGINT) AS chain_pos, CAST(seg AS BIGINT) AS chain_segment, prev AS previous_hash, h AS chain_hash FROM chain")
+def streaming_chain_segments(spark, d):
+    """The chains of the batch, made in six micro-batches."""
+    rows = derive.base(spark, d).select("kind", "event_ts", F.col("id").alias("event_id"), F.concat_ws("|", "props", "iso").alias("raw_event"))
+    path = _folder(spark, "chain")
+    start_chain(_arriving(spark, rows), path, path + "-state", "kind", "event_ts", ["event_id"], segment_rows=SEGMENT, slab_seconds=86400, available_now=True).awaitTermination()
+    return spark.read.parquet(path + "/chain").select("chain_key", "event_id", "chain_pos", "chain_segment", "previous_hash", "chain_hash")
+
+
+@query("stream_once", f"WITH {checks.BASE} SELECT id AS request_id, kind FROM base")
+def stream_once(spark, d):
+    """Every message is delivered three times, in three micro-batches."""
+    rows = derive.base(spark, d).select(F.col("id").alias("request_id"), "kind", F.col("event_ts").alias("queued_at"))
+    path, rows = _folder(spark, "arriving"), stored(rows, "rows")
+    for _ in range(3):
+        rows.write.mode("append").parquet(path)
+    many = spark.read.parquet(path).rdd.getNumPartitions()
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, many // 3)).parquet(path)
+    return _run(spark, once(stream, delay="60 days"), "once").select("request_id", "kind")
+
+
+@query("stream_events_with_analytics", f"""WITH {_ANALYZED}, a AS (SELECT analytics.*, event_ts AS found FROM analytics JOIN ev USING (event_id) WHERE risk_score > 20),
+  mark AS (SELECT 1000 * (least(epoch_ms((SELECT max(event_ts) FROM ev)), epoch_ms((SELECT max(found) FROM a))) - 600000) AS us)
+  SELECT ev.event_id, ev.source_ip, ev.action, a.risk_score, array_to_string(a.names, ',') AS detections FROM ev LEFT JOIN a USING (event_id), mark WHERE a.event_id IS NOT NULL OR epoch_us(ev.event_ts) <= mark.us""")
+def stream_events_with_analytics(spark, d):
+    """Two streams of six micro-batches: events, and the analytics of those with some risk. Without them an event is given once it is closed."""
+    ev = derive.security_events(spark, d)
+    for c in fixed.FORWARD_EVENT_FIELDS:
+        if c not in ev.columns:
+            ev = ev.withColumn(c, F.lit(None).cast("string"))
+    found = _arriving(spark, _analytics(spark, d).filter("risk_score > 20"), "timestamp")
+    both = with_analytics(_arriving(spark, ev.select(*fixed.FORWARD_EVENT_FIELDS, "event_ts")), found)
+    return _run(spark, both, "payloads").select("event_id", "source_ip", "action", "risk_score", joined("detections").alias("detections"))

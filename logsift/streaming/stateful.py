@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,46 +12,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logsift.operators.anomaly import AnomalySettings, bucket_baseline
-from logsift.operators.numbering import micros
-from logsift.operators.rules import RuleSettings, auth_failure, with_rule_counts
-
-
-def streaming_rules(events: DataFrame, settings: RuleSettings = RuleSettings(), time: str = "event_ts",
-                    delay: str = "10 minutes") -> DataFrame:
-    """(source_ip, event_id, event_ts, failed_count, spike_count) of every event with a source.
-
-    State per source: the times still inside the windows. It is dropped once the watermark has
-    passed them. Events later than `delay` are left out.
-    """
-    login, spike = settings.failed_login_seconds * 1_000_000, settings.spike_seconds * 1_000_000
-
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        failed, seen = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = pd.concat(list(frames)).sort_values(["t", "event_id"], kind="stable")
-        failed_counts, spike_counts = [], []
-        for t, bad in zip(rows["t"], rows["failed"]):
-            insort(seen, t)
-            if bad:
-                insort(failed, t)
-            within = lambda times, span: bisect_left(times, t + 1) - bisect_left(times, t - span)  # noqa: E731, B023
-            failed_counts.append(within(failed, login) if bad else 0)
-            spike_counts.append(within(seen, spike))
-        floor = min(int(rows["t"].max()), state.getCurrentWatermarkMs() * 1000 or 1 << 62)
-        failed = failed[bisect_left(failed, floor - login):]
-        seen = seen[bisect_left(seen, floor - spike):]
-        state.update((failed, seen))
-        state.setTimeoutTimestamp(max(int(rows["t"].max()) // 1000, state.getCurrentWatermarkMs()) + max(login, spike) // 1000 + 1)
-        yield pd.DataFrame({"source_ip": key[0], "event_id": rows["event_id"].values, "event_ts": rows[time].values,
-                            "failed_count": failed_counts, "spike_count": spike_counts})
-
-    usable = events.filter((F.coalesce(F.col("source_ip"), F.lit("")) != "") & F.col(time).isNotNull())
-    marked = usable.select("source_ip", "event_id", time, micros(F.col(time)).alias("t"), auth_failure().alias("failed"))
-    return marked.withWatermark(time, delay).groupBy("source_ip").applyInPandasWithState(
-        count, "source_ip string, event_id string, event_ts timestamp, failed_count long, spike_count long",
-        "failed array<long>, seen array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+from logsift.operators.integrity import chain_hash, latest_chain_hash
+from logsift.operators.rules import RuleSettings, with_rule_counts
+from logsift.sinks.tables import table_exists
+from logsift.streaming.keyed import own_or_storage_time
 
 
 def start_rules(events: DataFrame, path: str, checkpoint: str, settings: RuleSettings = RuleSettings(),
@@ -62,7 +25,8 @@ def start_rules(events: DataFrame, path: str, checkpoint: str, settings: RuleSet
 
     The written table is the state: event_id, time, source_ip, action, event_type, severity,
     auth_failed, failed_count, spike_count by batch. Its time statistics let the reader skip what
-    has left the windows. A late event is counted itself, counts already given stay.
+    has left the windows. A late event is counted itself, counts already given stay. Events without a
+    time of their own are counted, and written, at their time of storage.
     """
     longest = max(settings.failed_login_seconds, settings.spike_seconds)
     kept = ["event_id", time, "source_ip", "action", "event_type", "severity"]
@@ -70,11 +34,11 @@ def start_rules(events: DataFrame, path: str, checkpoint: str, settings: RuleSet
 
     def count(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.select(*kept).withColumn("fresh", F.lit(True)).persist()
+        fresh = batch.withColumn(time, own_or_storage_time(batch, time)).select(*kept).withColumn("fresh", F.lit(True)).persist()
         try:
             first = fresh.agg(F.min(time)).first()[0]
             rows = fresh
-            if first is not None and _exists(spark, path):
+            if first is not None and table_exists(spark, path):
                 since = F.lit(first) - F.expr(f"INTERVAL {longest} SECONDS")
                 before = spark.read.schema(types).parquet(path).filter((F.col("batch_id") < number) & (F.col(time) >= since))
                 rows = fresh.unionByName(before.select(*kept).withColumn("fresh", F.lit(False)))
@@ -100,7 +64,7 @@ def start_rate_anomaly(events: DataFrame, path: str, checkpoint: str, settings:
     def judge(batch: DataFrame, number: int) -> None:
         spark, batch = batch.sparkSession, batch.persist()
         schema = "bucket long, n long, samples long, mean double, sd double, zscore double, anomaly boolean, batch_id int"
-        stored = spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+        stored = spark.read.schema(schema).parquet(path) if table_exists(spark, path) else spark.createDataFrame([], schema)
         before = stored.filter(F.col("batch_id") < number).select("bucket", "n").orderBy(F.desc("bucket")).limit(settings.history)
         both = before.withColumn("fresh", F.lit(False)).unionByName(batch.withColumn("fresh", F.lit(True)))
         base = bucket_baseline(both.select("bucket", "n"), settings).join(both.select("bucket", "fresh"), "bucket")
@@ -114,16 +78,36 @@ def start_rate_anomaly(events: DataFrame, path: str, checkpoint: str, settings:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _exists(spark, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def start_chain(events: DataFrame, path: str, checkpoint: str, key: str, time: str, order: list[str], raw: str = "raw_event",
+                segment_rows: int = 10_000, slab_seconds: int = 3600, available_now: bool = False) -> StreamingQuery:
+    """Chain a stream in the format of `chain_hash`: the same positions, segments and hashes as one batch of all rows, if they
+    arrive in order.
+
+    A micro-batch is numbered and cut into segments by position, so a busy key is as many tasks as it has segments. It
+    goes on from where each key stood: one row per key, written anew below `path` with each batch. A batch that is run again starts
+    from the same state and replaces its own folder. Columns: chain_key, the `order` columns, chain_pos, chain_segment,
+    previous_hash, chain_hash.
+    """
+    state = "chain_key string, latest_chain_hash string, next_pos long"
+
+    def link(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(state).parquet(f"{path}/state/batch_id={number - 1}") if number else spark.createDataFrame([], state)
+        rows = batch.withColumn("chain_key", F.col(key).cast("string"))
+        chain_hash(rows, ["chain_key"], time, order, raw, segment_rows, slab_seconds, before if number else None).write.mode("overwrite").parquet(f"{path}/chain/batch_id={number}")
+        now = latest_chain_hash(spark.read.parquet(f"{path}/chain/batch_id={number}"), ["chain_key"]).withColumnsRenamed({"latest_chain_hash": "hash", "next_pos": "pos"})
+        both = before.join(now, "chain_key", "full").select("chain_key", F.coalesce("hash", "latest_chain_hash").alias("latest_chain_hash"), F.coalesce("pos", "next_pos").alias("next_pos"))
+        both.write.mode("overwrite").parquet(f"{path}/state/batch_id={number}")
+
+    writer = events.writeStream.foreachBatch(link).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def streaming_chain(events: DataFrame, key: str, order: list[str], raw: str = "raw_event") -> DataFrame:
     """(key, event_id, previous_hash, chain_hash): each key's chain goes on from batch to batch.
 
-    State per key: its last hash. Within a batch rows are taken by `order`. A busy source should be
-    spread over several keys (for example source and a hash bucket), one chain each.
+    One chain per key without segments. State per key: its last hash. Within a batch rows are taken by `order`. A key is one
+    task of a micro-batch; `start_chain` splits a busy one, and gives the hashes of the batch.
     """
     def link(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         previous = state.get[0] if state.exists else ""

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from logsift.operators.anomaly import AnomalySettings, rate_anomaly
 from logsift.operators.rules import RuleSettings, with_rule_counts
-from logsift.streaming.stateful import start_rate_anomaly, start_rules, streaming_chain, streaming_rules
+from logsift.operators.integrity import chain_hash
+from logsift.streaming.keyed import streaming_rate_events, streaming_rules
+from logsift.streaming.stateful import start_chain, start_rate_anomaly, start_rules, streaming_chain
 
 SETTINGS = RuleSettings(failed_login_seconds=300, spike_seconds=120)
 SCHEMA = ("event_id string, event_ts timestamp, source_ip string, action string, event_type string, severity string, raw_event string")
@@ -75,3 +77,33 @@ def test_rates(spark, batches, tmp_path):
     want = {r["bucket"]: (r["n"], r["hit"]) for r in judged.groupBy("bucket").agg(F.count("*").alias("n"), F.max("anomaly").alias("hit")).collect()}
     assert len(closed) > 60 and any(hit for _n, hit in closed.values())
     assert {b: want[b] for b in closed} == closed
+
+
+def test_rates_per_event(spark, batches, tmp_path):
+    stream, table = batches
+    settings = AnomalySettings(bucket_seconds=40, history=30, min_samples=10, zscore=1.5)
+    rows = collect(spark, streaming_rate_events(stream, settings), tmp_path)
+    want = {r.event_id: (r.anomaly, r.anomaly_score, r.anomaly_reason) for r in rate_anomaly(table, settings).collect()}
+    assert {r.event_id: (r.anomaly, r.anomaly_score, r.anomaly_reason) for r in rows} == want and len(rows) == 600
+    assert len({a for a, _, _ in want.values()}) == 2
+
+
+def test_chain_in_the_format_of_the_batch(spark, batches, tmp_path):
+    stream, table = batches
+    keyed = lambda df: df.withColumn("key", F.coalesce("source_ip", F.lit("none")))
+    out = str(tmp_path / "out")
+    start_chain(keyed(stream), out, str(tmp_path / "state"), "key", "event_ts", ["event_id"], segment_rows=7, slab_seconds=500, available_now=True).awaitTermination()
+    columns = ["chain_key", "event_id", "chain_pos", "chain_segment", "previous_hash", "chain_hash"]
+    want = chain_hash(keyed(table).withColumn("chain_key", F.col("key")), ["chain_key"], "event_ts", ["event_id"], segment_rows=7, slab_seconds=500)
+    assert sorted(map(tuple, spark.read.parquet(out + "/chain").select(columns).collect()), key=str) == sorted(map(tuple, want.select(columns).collect()), key=str)
+
+
+def test_events_without_a_time_count_at_their_time_of_storage(spark, batches, tmp_path):
+    stream, table = batches
+    late = lambda df: df.withColumn("created_at", F.col("event_ts")).withColumn("event_ts", F.when(F.xxhash64("event_id") % 2 == 0, F.col("event_ts")))
+    rows = collect(spark, streaming_rules(late(stream), SETTINGS), tmp_path)
+    assert {r["event_id"]: (r["failed_count"], r["spike_count"]) for r in rows} == expected(table)
+    out = str(tmp_path / "table")
+    start_rules(late(stream), out, str(tmp_path / "table-state"), SETTINGS, available_now=True).awaitTermination()
+    got = {r["event_id"]: (r["failed_count"] if r["auth_failed"] else 0, r["spike_count"]) for r in spark.read.parquet(out).collect() if r["source_ip"]}
+    assert got == expected(table)
