@@ -32,12 +32,15 @@ def number_rows(df: DataFrame, keys: list[str], time: str, order: list[str], out
         part = F.coalesce(F.concat(F.when(step < 0, "-").otherwise("0"), F.lpad(F.when(step < 0, step + F.lit(2**62)).otherwise(step).cast("string"), 19, "0")), F.lit(""))
     elif kind == "string":
         part = F.coalesce(F.substring(order[0], 1, part_chars), F.lit(""))
-    rows = df.withColumn("_slab", F.coalesce(F.floor(at / width), F.lit(-(2**62)))).withColumn("_part", F.when(at.isNull(), part).otherwise(""))
-    counts = rows.groupBy(*keys, "_slab", "_part").agg(F.count("*").alias("_n"))
-    earlier = W.partitionBy(*keys).orderBy("_slab", "_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_slab", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = W.partitionBy(*keys, "_slab", "_part").orderBy(time, *order)
+    # A null key is a key of its own: joins are on a text that is never null.
+    whole = (F.coalesce(F.concat(F.lit("="), F.col(keys[0]).cast("string")), F.lit("")) if len(keys) == 1
+             else F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    rows = df.withColumn("_key", whole).withColumn("_slab", F.coalesce(F.floor(at / width), F.lit(-(2**62)))).withColumn("_part", F.when(at.isNull(), part).otherwise(""))
+    counts = rows.groupBy("_key", "_slab", "_part").agg(F.count("*").alias("_n"))
+    earlier = W.partitionBy("_key").orderBy("_slab", "_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("_key", "_slab", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("_key", "_slab", "_part").orderBy(time, *order)
     placed = rows.withColumn("_rank", F.row_number().over(inside))
     # The offsets table is far smaller than the rows, but grows with them: no broadcast hint.
-    return placed.join(offsets, [*keys, "_slab", "_part"]).withColumn(
-        out, (F.col("_before") + F.col("_rank") - 1).cast("bigint")).drop("_slab", "_part", "_before", "_rank")
+    return placed.join(offsets, ["_key", "_slab", "_part"]).withColumn(
+        out, (F.col("_before") + F.col("_rank") - 1).cast("bigint")).drop("_key", "_slab", "_part", "_before", "_rank")

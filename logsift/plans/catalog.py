@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from logsift import fixed
 from logsift.operators import aggregates, assemble, classify, combine, display, integrity, normalize, parse, quality
-from logsift.operators import risk, rules, search
+from logsift.operators import risk, rules, seals, search
 from logsift.operators.anomaly import AnomalySettings, rate_anomaly
 from logsift.operators.formats import default_registry
 from logsift.plans import checks, derive
@@ -644,6 +644,62 @@ def seal_segments(spark, d):
     return integrity.seal_segments(_chained(spark, d), ["chain_key"], SEGMENT).select("chain_key", "segment", "head", "seal")
 
 
+@query("verify_seals", f"""{_CHAIN}, g AS (SELECT chain_key, seg, max(pos) AS last FROM chain GROUP BY ALL), k AS (SELECT chain_key, max(seg) AS top FROM g GROUP BY 1)
+  SELECT chain_key, CAST(seg AS BIGINT) AS segment, 'changed' AS problem FROM g WHERE chain_key = 'click' AND seg % 3 = 0
+  UNION ALL SELECT chain_key, seg, 'lost seal' FROM g JOIN k USING (chain_key) WHERE chain_key = 'view' AND seg % 3 = 0
+  UNION ALL SELECT chain_key, seg, 'lost segment' FROM g WHERE chain_key = 'signup' AND seg % 3 = 1
+  UNION ALL SELECT chain_key, CASE WHEN top = 0 THEN 0 ELSE top END, CASE WHEN top = 0 THEN 'lost key' ELSE 'lost tail' END FROM k WHERE chain_key = 'purchase'
+  UNION ALL SELECT chain_key, 0, 'lost key' FROM k WHERE chain_key = 'error'""")
+def verify_seals(spark, d):
+    """Every third segment of one kind has another last hash, of another it has lost its seal, of a third it is gone; one kind has lost its
+    last segment with its seal, one all but its top."""
+    chained = stored(_chained(spark, d), "chained")
+    sealed = seals.seal(chained, ["chain_key"], fan=4)
+    key, seg, third = F.col("chain_key"), F.col("chain_segment"), F.col("chain_segment") % 3
+    last = chained.where(key == "purchase").agg(F.max("chain_segment")).first()[0]
+    gone = (key == "error") | ((key == "signup") & (third == 1)) | ((key == "purchase") & (seg == last))
+    rest = chained.where(~gone).withColumn("chain_hash", F.when((key == "click") & (third == 0), F.sha2("chain_hash", 256)).otherwise(F.col("chain_hash")))
+    leaf = F.col("level") == 0
+    cut = (key == "error") | ((key == "purchase") & (F.col("index") * F.pow(F.lit(4), "level") + F.pow(F.lit(4), "level") > last)) | (leaf & (key == "view") & (F.col("index") % 3 == 0))
+    return seals.verify_seals(rest, seals.Seals(sealed.nodes.where(~cut), sealed.tops, sealed.root), ["chain_key"], fan=4)
+
+
+@query("seals_appended", f"{_CHAIN}, k AS (SELECT chain_key, max(seg) AS top FROM chain GROUP BY 1) SELECT chain_key, CAST(greatest(top, 1) AS BIGINT) AS segments, true AS appended FROM k")
+def seals_appended(spark, d):
+    """The tops of the chains without their last segment follow from the tree of all."""
+    chained = stored(_chained(spark, d), "chained")
+    most = chained.groupBy("chain_key").agg(F.max("chain_segment").alias("top"))
+    old = seals.seal(chained.join(most, "chain_key").where("chain_segment < greatest(top, 1)"), ["chain_key"], fan=4)
+    return seals.appended(old.tops, seals.seal(chained, ["chain_key"], fan=4), ["chain_key"], fan=4)
+
+
+@query("seals_included", f"{_CHAIN}, g AS (SELECT DISTINCT chain_key, seg FROM chain) SELECT chain_key, CAST(seg AS BIGINT) AS segment, seg % 2 = 0 AS included FROM g")
+def seals_included(spark, d):
+    """Every second segment is asked for with another last hash."""
+    sealed = seals.seal(_chained(spark, d), ["chain_key"], fan=4)
+    asked = sealed.nodes.where("level = 0").select("chain_key", F.col("index").alias("segment"), "rows", F.when(F.col("index") % 2 == 0, F.col("head")).otherwise("other").alias("head"))
+    return seals.included(asked, sealed, ["chain_key"], fan=4)
+
+
+_INGESTED = f"""{checks.parsed('mixed')}, good AS (SELECT * FROM events1 WHERE reject_reason IS NULL),
+  placed AS (SELECT e.event_id, e.raw_event AS raw, coalesce(e.parser, '') AS chain_key, row_number() OVER (PARTITION BY coalesce(e.parser, '') ORDER BY l.event_ts, e.event_id) - 1 AS pos FROM good e JOIN logs l USING (event_id)),
+  chain AS (SELECT chain_key, pos, event_id, CAST(NULL AS VARCHAR) AS prev, sha256(raw) AS h FROM placed WHERE pos % 500 = 0
+    UNION ALL SELECT p.chain_key, p.pos, p.event_id, c.h, sha256(c.h || p.raw) FROM chain c JOIN placed p ON p.chain_key = c.chain_key AND p.pos = c.pos + 1 AND p.pos % 500 <> 0)"""
+
+
+@query("ingest_with_integrity", f"WITH RECURSIVE {_INGESTED} SELECT event_id, chain_key, CAST(pos AS BIGINT) AS chain_pos, h AS chain_hash, true AS hash_verified, CAST(substr(event_id, 13) AS INT) <> 7 AS normalized_verified, true AS chain_verified FROM chain")
+def ingest_with_integrity(spark, d):
+    """Raw logs through the pipeline to stored, hashed and chained events, which are verified; in a tenth the severity has been changed since."""
+    path = _folder(spark, "events")
+    logs = derive.logs(spark, d).select("event_id", "raw_event", F.col("event_ts").alias("stored_at"))
+    write_events(accepted(process_logs(logs, ingest_time=F.col("stored_at"))), path)
+    events = read_events(spark, path).withColumn("by", F.coalesce("parser", F.lit("")))
+    chained = chain_events(events.drop("previous_hash", "chain_hash", "chain_key", "chain_segment", "chain_pos"), "by", "created_at", ["event_id"], segment_rows=500, slab_seconds=86400)
+    changed = chained.withColumn("severity", F.when(F.col("event_id").endswith("7"), F.lit("forged")).otherwise(F.col("severity")))
+    checked = integrity.verify(changed).select("event_id", "hash_verified", "normalized_verified", "chain_verified", "chain_hash")
+    return checked.join(chained.select("event_id", "chain_key", "chain_pos"), "event_id")
+
+
 def _stored(spark, d) -> DataFrame:
     """Events with hashes, some of them changed afterwards."""
     ev = derive.security_events(spark, d).withColumn("raw_event", F.col("props"))
