@@ -13,6 +13,7 @@ from logsift.operators import aggregates, assemble, classify, combine, display,
 from logsift.operators import risk, rules, seals, search
 from logsift.operators.anomaly import AnomalySettings, rate_anomaly
 from logsift.operators.formats import default_registry
+from logsift.operators.late import flag_late
 from logsift.plans import checks, derive
 from logsift.plans.pipeline import accepted, analyze_logs, chain_events, process_logs
 from logsift.session import configure, new_folder, stored
@@ -735,6 +736,17 @@ def latest_chain_hash(spark, d):
     return integrity.latest_chain_hash(_chained(spark, d).join(times, "event_id"), ["chain_key"])
 
 
+_ARRIVED = "(n % 1000) * 1000000 + n"
+
+
+@query("late_events", f"""WITH {checks.SEC}, w AS (SELECT event_id, event_ts, max(event_ts) OVER (ORDER BY {_ARRIVED} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ev)
+  SELECT event_id, coalesce(epoch_us(event_ts) <= 1000 * epoch_ms(before) - 864000000000, false) AS late FROM w""")
+def late_events(spark, d):
+    """Ten days late or more, among events that arrive in another order than that of their times."""
+    ev = derive.base(spark, d).select(F.col("id").alias("event_id"), "event_ts", F.expr(_ARRIVED).alias("arrived"))
+    return flag_late(ev, 10 * 86400, order=["arrived"]).select("event_id", "late")
+
+
 # --- mapping ------------------------------------------------------------------------------
 
 _KEYS = f"list_transform(regexp_extract_all(trim(raw_event, {checks._BLANKS}), {checks.q(checks.KEYED)}, 1), lambda x: lower(x))"

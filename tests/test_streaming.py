@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from logsift.operators.anomaly import AnomalySettings, rate_anomaly
 from logsift.operators.rules import RuleSettings, with_rule_counts
 from logsift.operators.integrity import chain_hash
+from logsift.operators.late import flag_late
+from logsift.streaming.pipeline import once
 from logsift.streaming.keyed import streaming_rate_events, streaming_rules
 from logsift.streaming.stateful import start_chain, start_rate_anomaly, start_rules, streaming_chain
 
@@ -107,3 +109,28 @@ def test_events_without_a_time_count_at_their_time_of_storage(spark, batches, tm
     start_rules(late(stream), out, str(tmp_path / "table-state"), SETTINGS, available_now=True).awaitTermination()
     got = {r["event_id"]: (r["failed_count"] if r["auth_failed"] else 0, r["spike_count"]) for r in spark.read.parquet(out).collect() if r["source_ip"]}
     assert got == expected(table)
+
+
+def test_late_rows_are_those_a_stream_drops(spark, tmp_path):
+    rng, rows = random.Random(4), []
+    for i in range(300):
+        at = datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=i * 10 - rng.choice([0, 0, 0, 700, 2500]), microseconds=rng.randrange(10**6))
+        rows.append((f"e{i}", None if i == 77 else at, i // 60, i))
+    schema = "event_id string, event_ts timestamp, part int, n int"
+    table = spark.createDataFrame(rows, schema)
+    for part in range(5):
+        table.where(F.col("part") == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    kept = {r.event_id for r in collect(spark, once(stream.where("event_ts IS NOT NULL"), "event_id", "event_ts", "10 minutes"), tmp_path)}
+    late = {r.event_id for r in flag_late(table, 600, batch="part").where("late").collect()}
+    assert late and {f"e{i}" for i in range(300) if i != 77} - kept == late
+    latest, want = None, set()
+    for name, at, _, _ in rows:
+        if at is not None:
+            mark = None if latest is None else latest - timedelta(microseconds=latest.microsecond % 1000) - timedelta(seconds=600)
+            if mark is not None and at <= mark:
+                want.add(name)
+            latest = max(at, latest or at)
+    got = flag_late(table.repartition(6), 600, order=["n"])
+    assert {r.event_id for r in got.where("late").collect()} == want and got.count() == 300
+    assert flag_late(table.where("false"), 600, order=["n"]).count() == 0
