@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 from logsift.llm.spans import slices
 
 REMEMBERED = 1 << 18
+#: Fixed value: the pattern for which a text may be cut before single white space. Others are matched over the whole text.
+CUTTABLE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Marks that the pattern leaves alone after letters; a fast path only.
 PLAIN_MARKS = frozenset(".,;:!?")
 
@@ -108,7 +110,7 @@ class Bpe:
                 if a is not None and b is not None:
                     self.pairs[a << 32 | b] = rank
         self.split = regex.compile(self.pattern).findall
-        self.runs = regex.compile(r"\s\s").search
+        self.runs = regex.compile(r"\s\s").search if self.pattern == CUTTABLE else lambda text: True
         self.pieces = Memory(self.piece)
         self.plain = Words(self.chunk, {mark: self.piece(mark) for mark in PLAIN_MARKS})
         self.spaced = Words(lambda chunk: self.chunk(" " + chunk), self.plain.marks)
@@ -157,8 +159,8 @@ class Bpe:
     def encode(self, text: str | None) -> bytes:
         """The ids of a text, as packed 32-bit numbers.
 
-        No pre-token goes on from other characters into white space. Where all white space is single, the text can thus be
-        cut before each, and a line feed is a pre-token of its own.
+        No pre-token of CUTTABLE goes on from other characters into white space. Where all white space is single, the text can
+        thus be cut before each, and a line feed is a pre-token of its own.
         """
         if not text:
             return b""

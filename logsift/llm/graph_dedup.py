@@ -15,8 +15,9 @@
 
 A shard holds about `shard` nodes, more only if there would be over `centroids` shards; no group grows with copies of a
 vector. Vectors that are null, zero or hold null or non-finite components, and rows without a label, link with nothing;
-vectors of different lengths are never compared. Rows with equal ids are separate vectors. Extra columns stay; n_links,
-component_id and kept replace columns of these names.
+vectors of different lengths are never compared. Vectors so large or small that their squares leave the range of doubles are
+scaled by a power of two first. Rows with equal ids are separate vectors. The result has the id, n_links, component_id and kept; extra
+columns are left out. A label of over `sample` shards has as many centroids as the sample has nodes, and larger shards.
 """
 
 from __future__ import annotations
@@ -235,19 +236,25 @@ def vector_nodes(vectors: DataFrame, id: str, vector: str, label: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, parts = [], []
-            for v, label in zip(batch.column("v"), batch.column("label").to_pylist()):
+            nodes, parts, scaled = [], [], {}
+            for at, (v, label) in enumerate(zip(batch.column("v"), batch.column("label").to_pylist())):
                 node = part = None
                 if v.is_valid and label is not None and v.values.null_count == 0 and len(v.values):
                     x = v.values.to_numpy(zero_copy_only=False)
                     with np.errstate(over="ignore", invalid="ignore"):
                         size = np.dot(x, x)
+                    if np.isfinite(x).all() and not 1e-200 < size < 1e200 and x.any():
+                        size = 1.0
+                        scaled[at] = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
                     if np.isfinite(size) and size > 0:
                         part = xxhash.xxh3_64_intdigest(f"{len(x)}|{label}") - (1 << 63)
                         node = xxhash.xxh3_64_intdigest(x.tobytes(), part & 0xFFFFFFFFFFFF) - (1 << 63)
                 nodes.append(node)
                 parts.append(part)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(nodes, pa.int64()), pa.array(parts, pa.int64()), batch.column("v")], schema.names)
+            column = batch.column("v")
+            if scaled:
+                column = pa.array([scaled[i].tolist() if i in scaled else v for i, v in enumerate(column.to_pylist())], column.type)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(nodes, pa.int64()), pa.array(parts, pa.int64()), column], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -272,7 +279,7 @@ def _centroids(nodes: DataFrame, settings: GraphSettings) -> tuple[dict[int, np.
         k = min(len(x), -(-settings.overlap * large[part] // shard))
         c = x[rng.choice(len(x), k, replace=False)]
         for _ in range(8):
-            own = (x @ c.T).argmax(axis=1)
+            own = np.concatenate([(x[i:i + 1024] @ c.T).argmax(axis=1) for i in range(0, len(x), 1024)])
             sums = np.zeros_like(c)
             np.add.at(sums, own, x)
             size = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -461,7 +468,8 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
         links = links.unionByName(exact.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     known = nodes.select("node", "copies").join(others, "node", "left").join(components(links), "node", "left")
     known = known.select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    placed = rows.select("id", "node").join(known, "node", "left")
-    smallest = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("component_id"))
+    # Both stored, so that Spark can split the join where one component has very many vectors.
+    placed = stored(rows.select("id", "node").join(known, "node", "left"), "placed")
+    smallest = stored(placed.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
     out = placed.join(smallest, "component", "left").select(F.col("id").alias(id), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id).eqNullSafe(F.col("component_id")))

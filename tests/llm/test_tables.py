@@ -77,6 +77,13 @@ def test_near_duplicate_vectors(spark):
     assert graph_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_vectors_beyond_the_range_of_squares(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1.01e200], 1), (3, [1e-200, 1e-200], 1), (4, [1.0, 1.0], 1), (5, [-1e300, 1e300], 1), (6, [5e-324, 0.0], 2), (7, [2.0, 0.0], 2), (8, [0.0, 0.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in graph_dedup.near_duplicates(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
 def test_links_of_a_dense_group_are_whole(spark):
     rng = np.random.default_rng(8)
     center = rng.normal(size=16)

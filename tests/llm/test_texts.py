@@ -204,6 +204,14 @@ def test_bpe_memory_may_forget(monkeypatch):
     assert bpe.encode(text) == tokenizer().encode(text)
 
 
+def test_bpe_with_another_pattern():
+    tiktoken = pytest.importorskip("tiktoken")
+    bpe = byte_bpe.Bpe(tokenizer().tokens, r"[^\r\n]+|\s+")  # pre-tokens go over blanks
+    theirs = tiktoken.Encoding("theirs", pat_str=bpe.pattern, mergeable_ranks={t: i for i, t in enumerate(bpe.tokens)}, special_tokens={})
+    for text in ("two words\nand a line", "the end of the line", ""):
+        assert np.frombuffer(bpe.encode(text), np.int32).tolist() == theirs.encode_ordinary(text)
+
+
 def test_perfect_hash():
     keys = [hashlib.md5(str(i).encode()).digest()[:i % 9 + 3] for i in range(5000)]
     keys = list(dict.fromkeys(keys))
