@@ -239,3 +239,15 @@ def test_storage_time_stands_in_for_a_missing_time(spark):
 def test_ids_need_something_that_tells_logs_apart(spark):
     with pytest.raises(ValueError):
         process_logs(spark.createDataFrame([("x",)], "raw_event string"))
+
+
+def test_long_events_are_put_together_from_pieces(spark):
+    rows, want = [], []
+    for f, n in (("a", 1), ("b", 700), ("c", 33)):
+        lines = [f"{{ {f}\n"] + [f"  at {i}\n" if i % 50 else " \n" for i in range(n)] + ["[second\r\n", "  end"]
+        rows += [(f, i + 1, line) for i, line in enumerate(lines)]
+        want += [(f, 1, n + 1, "".join(lines[:-2])), (f, n + 2, 2, "[second\r\n  end")]
+    lines = spark.createDataFrame(rows, "file string, line_no int, line string").repartition(5)
+    for slab, piece in ((40, 7), (100, 1000), (13, 1)):
+        got = assemble_events(lines, slab_lines=slab, piece_lines=piece)
+        assert sorted((r.file, r.line_no, r.line_count, r.raw_event) for r in got.collect()) == sorted(want)
