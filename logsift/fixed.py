@@ -169,9 +169,7 @@ CLASSIFY_DISABLED = ["Intelligence module is disabled by configuration"]
 SUGGEST_THRESHOLD = 0.8
 
 # --- files and queue ---
-MAX_FILE_BYTES = 5 * 1024 * 1024
 QUEUE_BATCH = 100
-QUEUE_ATTEMPTS = 3
 
 # --- forwarding ---
 FORWARD_EVENT_FIELDS = [

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from logsift.fixed import HASH_VERSION, PROTECTED_FIELDS
-from logsift.operators.numbering import number_rows
+from logsift.operators.numbering import number_by_ranges, number_rows
 
 
 def raw_hash(raw: Column) -> Column:
@@ -54,7 +54,8 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def chain_hash(df: DataFrame, keys: list[str], time: str, order: list[str], raw: str = "raw_event",
-               segment_rows: int = 10_000, slab_seconds: int = 3600, start: DataFrame | None = None) -> DataFrame:
+               segment_rows: int = 10_000, slab_seconds: int = 3600, start: DataFrame | None = None,
+               by_ranges: bool = False) -> DataFrame:
     """Per row: its chain key columns, `order` columns, chain_pos, chain_segment, previous_hash, chain_hash.
 
     `start` is what `latest_chain_hash` gives for the stored events: each key then goes on at its next
@@ -63,11 +64,12 @@ def chain_hash(df: DataFrame, keys: list[str], time: str, order: list[str], raw:
 
     A chain is serial by nature, so a key's rows are cut by position into segments of at most
     `segment_rows`, each a chain of its own that starts from the empty hash; `seal_segments` then
-    chains the segments. No task ever holds more than one segment, however many rows a key has.
+    chains the segments. No task ever holds more than one segment, however many rows a key has. Rows are numbered by slabs of
+    time; with `by_ranges` any number of them may have one key and one time.
     """
     kept = [c for c in dict.fromkeys([*keys, *order])]
     narrow = df.select(*kept, F.col(time).alias("_time"), F.col(raw).alias("_raw"))
-    placed = number_rows(narrow, keys, "_time", order, "chain_pos", slab_seconds)
+    placed = number_by_ranges(narrow, keys, "_time", order, "chain_pos") if by_ranges else number_rows(narrow, keys, "_time", order, "chain_pos", slab_seconds)
     placed = placed.withColumn("_start", F.lit(None).cast("string"))
     if start is not None:
         known = start.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("next_pos").alias("_next"), F.col("latest_chain_hash").alias("_hash"))

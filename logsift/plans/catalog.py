@@ -611,6 +611,19 @@ def chain_hash(spark, d):
     return _chained(spark, d)
 
 
+@query("chain_one_moment", f"""WITH RECURSIVE {checks.BASE}, placed AS (SELECT id AS event_id, props || '|' || iso AS raw, CASE WHEN n % 2 = 0 THEN 'hot' ELSE kind END AS chain_key, row_number() OVER (PARTITION BY CASE WHEN n % 2 = 0 THEN 'hot' ELSE kind END ORDER BY CASE WHEN n % 2 = 0 THEN NULL ELSE event_ts END, id) - 1 AS pos FROM base),
+  chain AS (SELECT chain_key, pos, event_id, CAST(NULL AS VARCHAR) AS prev, sha256(raw) AS h FROM placed WHERE pos % {SEGMENT} = 0
+    UNION ALL SELECT p.chain_key, p.pos, p.event_id, c.h, sha256(c.h || p.raw) FROM chain c JOIN placed p ON p.chain_key = c.chain_key AND p.pos = c.pos + 1 AND p.pos % {SEGMENT} <> 0)
+  SELECT chain_key, event_id, CAST(pos AS BIGINT) AS chain_pos, prev AS previous_hash, h AS chain_hash FROM chain""")
+def chain_one_moment(spark, d):
+    """Half of all rows have one key and one time."""
+    hot = F.col("n") % 2 == 0
+    rows = derive.base(spark, d).select(F.when(hot, "hot").otherwise(F.col("kind")).alias("chain_key"), F.when(hot, F.timestamp_seconds(F.lit(1_700_000_000))).otherwise(F.col("event_ts")).alias("event_ts"),
+                                        F.col("id").alias("event_id"), F.concat_ws("|", "props", "iso").alias("raw_event"))
+    return integrity.chain_hash(rows, ["chain_key"], "event_ts", ["event_id"], segment_rows=SEGMENT, by_ranges=True).select(
+        "chain_key", "event_id", "chain_pos", "previous_hash", "chain_hash")
+
+
 @query("chain_two_batches", f"{_CHAIN} SELECT chain_key, event_id, CAST(pos AS BIGINT) AS chain_pos, CAST(seg AS BIGINT) AS chain_segment, prev AS previous_hash, h AS chain_hash FROM chain")
 def chain_two_batches(spark, d):
     """The second half in time goes on from the stored chain of the first: the same chain as in one batch."""

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from logsift import fixed
-from logsift.functions.address import IP_PATTERN
-from logsift.functions.text import BLANKS, DIGIT, SPACE, WORD
-from logsift.operators.assemble import EVENT_START
 from logsift.plans import derive
 
+# Own spellings of what the operators match: blanks as Python's str.strip knows them, digits and words by Unicode category.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+SPACE = "".join(rf"\x{{{ord(c):x}}}" for c in BLANKS)
+DIGIT = r"[\p{Nd}]"
+WORD = r"_\p{N}\p{L}"
+EVENT_START = "|".join([
+    r"^[\[{<]", "^(?:CE|LEE)F:", rf"^{DIGIT}{DIGIT}{DIGIT}{DIGIT}-{DIGIT}{DIGIT}-{DIGIT}{DIGIT}",
+    rf"^[A-Z][a-z][a-z][{SPACE}]+{DIGIT}{DIGIT}?[{SPACE}]+{DIGIT}{DIGIT}:{DIGIT}{DIGIT}:{DIGIT}{DIGIT}"])
+
 _BLANKS = "'" + BLANKS.replace("'", "''") + "'"
 KV = rf'([{WORD}]+)=("[^"]*"|[^{SPACE}]+)'
 IDENT = rf"(?:^|[|{SPACE}])([A-Za-z_][A-Za-z0-9_-]*)=([^|{SPACE}]+)"
@@ -150,8 +156,23 @@ def parse_parts() -> dict[str, str]:
     return parts
 
 
+def _is_v4(c: str) -> str:
+    number = "regexp_matches(o, '^[0-9]{1,3}$') AND (o = '0' OR NOT starts_with(o, '0')) AND coalesce(TRY_CAST(o AS INT), 999) <= 255"
+    return f"(len(string_split({c}, '.')) = 4 AND len(list_filter(string_split({c}, '.'), lambda o: {number})) = 4)"
+
+
 def is_ip(c: str) -> str:
-    return f"regexp_matches({c}, {q(IP_PATTERN)})"
+    """By counting: four numbers; or eight groups of hexadecimal digits, or fewer around one '::', of which numbers at the end count as two."""
+    base = f"regexp_replace({c}, '%[^%]+$', '')"
+    groups = lambda h: f"(CASE WHEN {h} = '' THEN CAST([] AS VARCHAR[]) ELSE string_split({h}, ':') END)"
+    hexes = lambda g: f"len(list_filter({g}, lambda x: regexp_matches(x, '^[0-9A-Fa-f]{{1,4}}$')))"
+    halves = f"string_split({base}, '::')"
+    head = f"(CASE WHEN len({halves}) = 2 THEN {groups(halves + '[1]')} ELSE CAST([] AS VARCHAR[]) END)"
+    tail = groups(f"{halves}[len({halves})]")
+    numbers = f"({hexes(tail)} = len({tail}) - 1 AND coalesce({_is_v4(tail + '[len(' + tail + ')]')}, false))"
+    size = f"len({head}) + len({tail}) + CASE WHEN {numbers} THEN 1 ELSE 0 END"
+    v6 = f"(contains({c}, ':') AND {hexes(head)} = len({head}) AND ({hexes(tail)} = len({tail}) OR {numbers}) AND CASE len({halves}) WHEN 1 THEN {size} = 8 WHEN 2 THEN {size} <= 7 ELSE false END)"
+    return f"({_is_v4(c)} OR {v6})"
 
 
 def _port(c: str) -> str:

@@ -63,6 +63,12 @@ def start_rate_anomaly(events: DataFrame, path: str, checkpoint: str, settings:
 
     def judge(batch: DataFrame, number: int) -> None:
         spark, batch = batch.sparkSession, batch.persist()
+        try:
+            judge_closed(spark, batch, number)
+        finally:
+            batch.unpersist()
+
+    def judge_closed(spark, batch: DataFrame, number: int) -> None:
         schema = "bucket long, n long, samples long, mean double, sd double, zscore double, anomaly boolean, batch_id int"
         stored = spark.read.schema(schema).parquet(path) if table_exists(spark, path) else spark.createDataFrame([], schema)
         before = stored.filter(F.col("batch_id") < number).select("bucket", "n").orderBy(F.desc("bucket")).limit(settings.history)
@@ -72,7 +78,6 @@ def start_rate_anomaly(events: DataFrame, path: str, checkpoint: str, settings:
         judged = base.filter("fresh").drop("fresh").withColumn("zscore", z).withColumn(
             "anomaly", F.coalesce(F.col("zscore") >= settings.zscore, F.lit(False)))
         judged.write.mode("overwrite").parquet(f"{path}/batch_id={number}")
-        batch.unpersist()
 
     writer = counts.writeStream.outputMode("append").foreachBatch(judge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
