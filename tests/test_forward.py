@@ -74,3 +74,23 @@ def test_receipts_of_a_stream(spark):
     got = read_receipts(spark, receipts).collect()
     assert sorted(int(r.event_id) for r in got) == list(range(30)) and all(r.delivered and r.calls == 1 for r in got)
     assert len([n for n in os.listdir(receipts.removeprefix("file:")) if n.startswith("sent-")]) == 3
+
+
+def test_events_with_analytics_are_forwarded_as_a_stream(spark):
+    from logsift.fixed import FORWARD_EVENT_FIELDS
+    from logsift.streaming.pipeline import with_analytics
+
+    events, found, receipts = (new_folder(spark, n) for n in ("events", "analytics", "receipts"))
+    for i in range(3):
+        ids = spark.range(i * 10, i * 10 + 10).select(F.format_string("e%02d", "id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 60).alias("event_ts"))
+        ids.select("event_ts", *[F.col(c) if c == "event_id" else F.lit(None).cast("string").alias(c) for c in FORWARD_EVENT_FIELDS]).coalesce(1).write.mode("append").parquet(events)
+        ids.where("event_id LIKE '%5'").select("event_id", F.col("event_ts").alias("timestamp"), F.lit(True).alias("anomaly"), F.lit(0.5).alias("anomaly_score"), F.lit(60).alias("risk_score"),
+                                               F.array(F.lit("rule")).alias("rule_matches"), F.array(F.lit("why")).alias("reasons")).coalesce(1).write.mode("append").parquet(found)
+    read = lambda path: spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    register_forward(spark, "siem", lambda body: 400 if isinstance(body, list) else 200 if '"risk_score":60' in body else 401, backoff=0)
+    stream = payloads_of(with_analytics(read(events), read(found), "2 minutes")).writeStream.format("siem").option("receipts", receipts)
+    stream.option("checkpointLocation", receipts + "-state").trigger(availableNow=True).start().awaitTermination()
+    got = {r.event_id: r.delivered for r in read_receipts(spark, receipts).collect()}
+    assert {i for i, good in got.items() if good} == {"e05", "e15", "e25"}
+    # The others are given once the watermark has passed them: the last analytics at 25 minutes, less 2.
+    assert {i for i, good in got.items() if not good} == {f"e{i:02d}" for i in range(24) if i % 10 != 5}
