@@ -251,3 +251,12 @@ def test_long_events_are_put_together_from_pieces(spark):
     for slab, piece in ((40, 7), (100, 1000), (13, 1)):
         got = assemble_events(lines, slab_lines=slab, piece_lines=piece)
         assert sorted((r.file, r.line_no, r.line_count, r.raw_event) for r in got.collect()) == sorted(want)
+
+
+def test_batches_are_split_into_accepted_and_blank(spark):
+    from logsift.operators.parse import split_batch
+
+    rows = [("r1", "log a"), ("r1", " \t"), ("r1", None), ("r2", ""), ("r2", "　"), ("r3", "x"), ("r3", "x")]
+    kept, blank = split_batch(spark.createDataFrame(rows, "request_id string, raw_event string"))
+    assert sorted(map(tuple, kept.select("request_id", "raw_event").collect())) == [("r1", "log a"), ("r3", "x"), ("r3", "x")]
+    assert blank.count() == 4 and kept.count() + blank.count() == len(rows)
