@@ -162,8 +162,8 @@ def repeated_ranges(docs: DataFrame, id: str, text: str, window: int = WINDOW, r
     cold = moved.where("packed IS NOT NULL").select("mini", "id", "text_hash", "start", "n", "packed")
     cold = cold.repartition("mini").sortWithinPartitions("mini").mapInArrow(sort_and_count, out)
     often = moved.where("packed IS NULL").select("w1", "w2", "id", "text_hash", "start", "n")
-    twice = often.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
-    # Stored by itself, so that Spark can split the join where one window has very many rows.
+    # Stored, so that Spark can split the join where one window has very many rows.
+    twice = stored(often.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2"), "twice")
     return cold.unionByName(stored(often.join(twice, ["w1", "w2"]).select(*out.names), "windows"))
 
 
