@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logsift.functions import xmlmap
-from logsift.plans import derive
+from logsift.plans import catalog, derive
+from logsift.session import new_folder
 from logsift.sources.tables import parts_of
 
 
@@ -43,3 +44,12 @@ def test_xml_maps_are_arrow_arrays():
     assert {"k": "1", "src": "10.0.0.1", "source_ip": "10.0.0.1", "p": "tcp", "n": '{"p": "tcp"}', "source_type": "xml"}.items() <= dict(got[1]).items()
     assert [len(g) for g in xmlmap._maps(pa.array(["<Event/>", "<bad"]), xmlmap.windows_event).to_pylist()] == [0, 0]
     assert xmlmap._maps(pa.array([], pa.string()), xmlmap.flatten).to_pylist() == []
+
+
+def test_a_stream_is_dealt_out(spark, one_row_group):
+    tasks = []
+    running = catalog._stream(spark, one_row_group).writeStream.foreachBatch(
+        lambda batch, _: tasks.append([r["count"] for r in batch.groupBy(F.spark_partition_id()).count().collect()])
+    ).option("checkpointLocation", new_folder(spark, "dealt")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    assert len(tasks) == 1 and sum(tasks[0]) == 20_000 and len(tasks[0]) >= 4 and max(tasks[0]) < 7_000
