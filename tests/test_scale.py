@@ -1,5 +1,6 @@
-"""What grows with the tables: tasks, batches, state."""
+"""What grows with the tables: tasks and batches."""
 
+import glob
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logsift.functions import xmlmap
 from logsift.plans import catalog, derive
-from logsift.session import new_folder
+from logsift.session import checkpoint_root, new_folder
 from logsift.sources.tables import parts_of
 
 
@@ -53,3 +54,22 @@ def test_a_stream_is_dealt_out(spark, one_row_group):
     ).option("checkpointLocation", new_folder(spark, "dealt")).trigger(availableNow=True).start()
     running.awaitTermination()
     assert len(tasks) == 1 and sum(tasks[0]) == 20_000 and len(tasks[0]) >= 4 and max(tasks[0]) < 7_000
+
+
+def test_an_arriving_batch_is_many_files(spark):
+    rows = spark.range(6000).select("id", F.timestamp_seconds(F.col("id") * 7 % 6000).alias("event_ts"))
+    batches = []
+
+    def seen(batch, _number):
+        got = batch.agg(F.count("*").alias("n"), F.min("event_ts").alias("a"), F.max("event_ts").alias("z")).first()
+        batches.append(got)
+
+    files = lambda: set(glob.glob(checkpoint_root(spark) + "/arriving-*/*.parquet"))
+    there = files()
+    stream = catalog._arriving(spark, rows, file_rows=300)
+    assert len(files() - there) in (12, 18)
+    stream.writeStream.foreachBatch(seen).option("checkpointLocation", new_folder(spark, "seen")).trigger(availableNow=True).start().awaitTermination()
+    assert len(batches) == 6 and sum(b.n for b in batches) == 6000
+    assert all(a.z < b.a for a, b in zip(batches, batches[1:]))
+    few = catalog._arriving(spark, rows.where("id < 3"), file_rows=300)
+    assert few.isStreaming
