@@ -31,8 +31,9 @@ def use_state_store(spark: SparkSession) -> None:
 class TrailingCounts(StatefulProcessor):
     """How many events, and how many failed logins, a source has in the windows that end with each of its events.
 
-    State: the times by slab, so that a batch rewrites only the slabs that get new times, and old slabs go as they are. A timer
-    at the time when the last window has passed clears a source that has fallen silent.
+    A key is a bucket of sources: a call of the processor and its state costs tens of milliseconds, so a key for each source would take
+    longer than all counting. State: the sources, times and failures by slab, so that a batch rewrites only the slabs that get new
+    times, and old slabs go as they are. A timer at the time when the last window has passed clears a bucket that has fallen silent.
     """
 
     def __init__(self, login: int, spike: int, slab: int) -> None:
@@ -40,38 +41,46 @@ class TrailingCounts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slabs = handle.getMapState("slabs", "slab long", "seen array<long>, failed array<long>")
+        self.slabs = handle.getMapState("slabs", "slab long", "source array<string>, seen array<long>, failed array<boolean>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["t", "event_id"], kind="stable")
-        t, bad = new["t"].to_numpy(), new["failed"].to_numpy().astype(bool)
-        longest = max(self.login, self.spike)
+        new = pd.concat(list(rows)).sort_values(["source_ip", "t", "event_id"], kind="stable")
+        source, t, bad = new["source_ip"].to_numpy(object), new["t"].to_numpy(), new["failed"].to_numpy().astype(bool)
+        first, last, longest = int(t.min()), int(t.max()), max(self.login, self.spike)
         there = sorted(k[0] for k in self.slabs.keys())
-        state = {s: self.slabs.getValue((s,)) for s in there if s >= (int(t[0]) - longest) // self.slab}
-        old = [np.array([x for s in sorted(state) for x in state[s][i]], np.int64) for i in (0, 1)]
-        spikes = self._counts(np.sort(old[0]), t, self.spike)
+        state = {s: self.slabs.getValue((s,)) for s in there if s >= (first - longest) // self.slab}
+        old = [np.array([x for s in sorted(state) for x in state[s][i]], kind) for i, kind in enumerate((object, np.int64, bool))]
+        codes = pd.factorize(np.concatenate((old[0], source)), sort=True)[0]
+        were, are = codes[:len(old[0])], codes[len(old[0]):]
+        spikes = self._counts(were, old[1], are, t, self.spike)
         logins = np.zeros(len(t), np.int64)
-        logins[bad] = self._counts(np.sort(old[1]), t[bad], self.login)
+        logins[bad] = self._counts(were[old[2]], old[1][old[2]], are[bad], t[bad], self.login)
 
-        for s in np.unique(t // self.slab).tolist():
-            inside = t // self.slab == s
-            seen, failed = state.get(s, ([], []))
-            self.slabs.updateValue((s,), ([*seen, *t[inside].tolist()], [*failed, *t[inside & bad].tolist()]))
+        at = np.argsort(t // self.slab, kind="stable")
+        slabs, starts = np.unique((t // self.slab)[at], return_index=True)
+        for s, inside in zip(slabs.tolist(), np.split(at, starts[1:])):
+            sources, seen, failed = state.get(s, ([], [], []))
+            self.slabs.updateValue((s,), ([*sources, *source[inside].tolist()], [*seen, *t[inside].tolist()], [*failed, *bad[inside].tolist()]))
         floor = timerValues.getCurrentWatermarkInMs() * 1000 - longest
         for s in there:
             if (s + 1) * self.slab < floor:
                 self.slabs.removeKey((s,))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        last = max([int(t[-1]), *[(s + 1) * self.slab for s in there]])
-        self.handle.registerTimer(max(last + longest, timerValues.getCurrentWatermarkInMs() * 1000) // 1000 + 1)
-        yield pd.DataFrame({"source_ip": key[0], "event_id": new["event_id"].values, "event_ts": new["at"].values, "failed_count": logins, "spike_count": spikes})
+        end = max([last, *[(s + 1) * self.slab for s in there]])
+        self.handle.registerTimer(max(end + longest, timerValues.getCurrentWatermarkInMs() * 1000) // 1000 + 1)
+        yield pd.DataFrame({"source_ip": source, "event_id": new["event_id"].values, "event_ts": new["at"].values, "failed_count": logins, "spike_count": spikes})
 
     @staticmethod
-    def _counts(old: np.ndarray, new: np.ndarray, span: int) -> np.ndarray:
-        """For each of `new`, in order: the times from `span` before it, among `old` and `new` up to itself."""
-        upto = np.searchsorted(old, new, "right") + np.arange(1, len(new) + 1)
-        return upto - np.searchsorted(old, new - span, "left") - np.searchsorted(new, new - span, "left")
+    def _counts(old_source: np.ndarray, old: np.ndarray, source: np.ndarray, new: np.ndarray, span: int) -> np.ndarray:
+        """For each of `new`, in order of source and time: the times of its source from `span` before it, among `old` and `new` up to
+        itself. A source and the rank of a time make one number, which stays small whatever the times are."""
+        ranks = np.unique(np.concatenate((old, new, new - span)), return_inverse=True)[1]
+        width = int(ranks.max(initial=0)) + 1
+        a, b, since = np.split(ranks, [len(old), len(old) + len(new)])
+        there, here, since = np.sort(old_source * width + a), source * width + b, source * width + since
+        upto = np.searchsorted(there, here, "right") + np.arange(1, len(new) + 1)
+        return upto - np.searchsorted(there, since, "left") - np.searchsorted(here, since, "left")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.slabs.clear()
@@ -82,20 +91,22 @@ class TrailingCounts(StatefulProcessor):
 
 
 def streaming_rules(events: DataFrame, settings: RuleSettings = RuleSettings(), time: str = "event_ts",
-                    delay: str = "10 minutes") -> DataFrame:
+                    delay: str = "10 minutes", buckets: int = 256) -> DataFrame:
     """(source_ip, event_id, event_ts, failed_count, spike_count) of every event with a source and a time.
 
     Events without a time of their own are counted at their time of storage. Events later than `delay` are left out; a late
-    event within it is counted itself, counts already given stay. A source is one task of a micro-batch, over arrays of
-    times; see `start_rules` where that is too much.
+    event within it is counted itself, counts already given stay. The state is kept by `buckets` of sources, a number that a
+    checkpoint is bound to; a bucket, so a source too, is one task of a micro-batch, over arrays of times; see `start_rules`
+    where that is too much.
     """
     use_state_store(events.sparkSession)
     timed = events.withColumn("at", own_or_storage_time(events, time))
     usable = timed.filter((F.coalesce(F.col("source_ip"), F.lit("")) != "") & F.col("at").isNotNull())
-    marked = usable.select("source_ip", "event_id", "at", micros(F.col("at")).alias("t"), auth_failure().alias("failed"))
+    marked = usable.select(F.pmod(F.xxhash64("source_ip"), F.lit(buckets)).alias("bucket"), "source_ip", "event_id", "at",
+                           micros(F.col("at")).alias("t"), auth_failure().alias("failed"))
     login, spike = settings.failed_login_seconds * 1_000_000, settings.spike_seconds * 1_000_000
     counts = TrailingCounts(login, spike, max(1_000_000, max(login, spike) // 8))
-    return marked.withWatermark("at", delay).groupBy("source_ip").transformWithStateInPandas(
+    return marked.withWatermark("at", delay).groupBy("bucket").transformWithStateInPandas(
         counts, "source_ip string, event_id string, event_ts timestamp, failed_count long, spike_count long", "append", "EventTime")
 
 

@@ -10,7 +10,7 @@ from logsift.operators.rules import RuleSettings, with_rule_counts
 from logsift.operators.integrity import chain_hash
 from logsift.operators.late import flag_late
 from logsift.streaming.pipeline import once
-from logsift.streaming.keyed import streaming_rate_events, streaming_rules
+from logsift.streaming.keyed import TrailingCounts, streaming_rate_events, streaming_rules
 from logsift.streaming.stateful import start_chain, start_rate_anomaly, start_rules, streaming_chain
 
 SETTINGS = RuleSettings(failed_login_seconds=300, spike_seconds=120)
@@ -47,6 +47,26 @@ def test_rules_by_state(spark, batches, tmp_path):
     assert {r["event_id"]: (r["failed_count"], r["spike_count"]) for r in rows} == expected(table)
 
 
+def test_rules_by_bucket(spark, batches, tmp_path, monkeypatch):
+    """Many sources are few calls of the state processor, also when they share a bucket and times lie far apart."""
+    stream, table = batches
+    far = lambda df: df.withColumns({"source_ip": F.concat("source_ip", F.pmod(F.xxhash64("event_id"), F.lit(40)).cast("string")),
+                                     "event_ts": F.when(F.col("event_id") == "e0000", F.timestamp_seconds(F.lit(1000))).otherwise(F.col("event_ts"))})
+    keys, counts = str(tmp_path / "keys"), TrailingCounts.handleInputRows
+
+    def counted(self, key, rows, timerValues):
+        with open(keys, "a") as f:
+            f.write(f"{key[0]}\n")
+        return counts(self, key, rows, timerValues)
+
+    monkeypatch.setattr(TrailingCounts, "handleInputRows", counted)
+    rows = collect(spark, streaming_rules(far(stream), SETTINGS, buckets=2), tmp_path)
+    assert {r["event_id"]: (r["failed_count"], r["spike_count"]) for r in rows} == expected(far(table))
+    assert len({r["source_ip"] for r in rows}) > 100
+    with open(keys) as f:
+        assert 5 <= len(f.read().split()) <= 10
+
+
 def test_rules_by_table(spark, batches, tmp_path):
     stream, table = batches
     out = str(tmp_path / "out")
