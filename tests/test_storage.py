@@ -6,7 +6,8 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from logsift.session import new_folder
+from logsift.session import new_folder, stored
+from logsift.sinks import tables
 from logsift.sinks.tables import replace_events, write_events
 from logsift.sources.tables import read_events
 
@@ -63,6 +64,21 @@ def test_an_event_may_move_to_another_date(spark, table):
     assert len(content(spark, path)) == 31 and not any("2024-01-01" in f for f in files(path))
 
 
+def test_rows_are_stored_once_before_they_are_written(spark, table, monkeypatch):
+    """Whole rows are written aside once, those of a new table not at all; ids are, to find the dates."""
+    path, rows = table
+    aside = []
+    monkeypatch.setattr(tables, "stored", lambda df, name: aside.append(len(df.columns)) or stored(df, name))
+    new = [("e0", at(1), at(10), "high", "raw 0", None), ("e3", at(1), at(8), "never", "older than what is stored", None), ("e1", at(1), at(9), "day", "raw 1", None),
+           ("e4", at(2), None, "unknown", "no time of storage is earlier", None)]
+    assert [str(d) for d in replace_events(spark.createDataFrame(new, SCHEMA), path, ["created_at"])] == ["2024-01-01", "2024-01-02"]
+    assert [n for n in aside if n > 3] == [7]
+    got = content(spark, path)
+    assert len(got) == 31 and {i: s for i, s, _ in got if s != "low"} == {"e0": "high", "e1": "day"} and sum("2024-01-01" in t for _, _, t in got) == 11
+    aside.clear()
+    assert len(replace_events(spark.createDataFrame(rows, SCHEMA), new_folder(spark, "events"), ["created_at"])) == 4 and aside == []
+
+
 def test_nothing_to_replace(spark, table):
     path, _ = table
     before = files(path)
