@@ -56,6 +56,17 @@ def test_a_stream_is_dealt_out(spark, one_row_group):
     assert len(tasks) == 1 and sum(tasks[0]) == 20_000 and len(tasks[0]) >= 4 and max(tasks[0]) < 7_000
 
 
+def test_small_files_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(3000).select(F.concat(F.lit("f"), F.col("id") % 100).alias("file"), F.col("id").alias("line_no"), F.col("id").cast("string").alias("text"))
+    catalog._write_files(rows, str(tmp_path / "files"), 16)
+    written = glob.glob(str(tmp_path / "files/file=*/part-*.txt"))
+    assert len(written) == 100 and len({f.rsplit("/part-")[1][:5] for f in written}) > 8
+    for f in written:
+        k = int(f.split("file=f")[1].split("/")[0])
+        with open(f) as text:
+            assert [int(line) for line in text] == list(range(k, 3000, 100))
+
+
 def test_an_arriving_batch_is_many_files(spark):
     rows = spark.range(6000).select("id", F.timestamp_seconds(F.col("id") * 7 % 6000).alias("event_ts"))
     batches = []
