@@ -1,6 +1,7 @@
 """What grows with the tables: tasks and batches."""
 
 import glob
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -8,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from logsift.functions import xmlmap
+from logsift.functions.text import is_blank
 from logsift.plans import catalog, derive
+from logsift.plans.pipeline import process_logs
 from logsift.session import checkpoint_root, new_folder
 from logsift.sources.tables import parts_of
 
@@ -84,3 +87,23 @@ def test_an_arriving_batch_is_many_files(spark):
     assert all(a.z < b.a for a, b in zip(batches, batches[1:]))
     few = catalog._arriving(spark, rows.where("id < 3"), file_rows=300)
     assert few.isStreaming
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_log_is_cut_once_and_a_field_read_once(spark):
+    """A header was cut again for each of its parts, a field's map searched again for each test of the field."""
+    spark.conf.set("spark.sql.maxPlanStringLength", 10_000_000)
+    logs = spark.createDataFrame([("1", "LEEF:1.0|Acme|Gate|3.1|x|src=1.1.1.1\tspt=7")], "event_id string, raw_event string")
+    done = process_logs(logs)
+    plan = _plan(done)
+    assert plan.count("[|], -1)") == 1 and plan.count("[|], 8)") == 1
+    assert len(re.findall(r"parsed#\d+\[_k#\d+\.source_port\]", plan)) == 1
+    assert done.first().source_ip == "1.1.1.1"
+
+
+def test_blank_texts(spark):
+    rows = spark.createDataFrame([(None,), ("",), (" \t",), ("\u2003\u00a0",), ("a",), (" \u00e9 ",), ("\u200b",)], "t string")
+    assert [r[0] for r in rows.select(is_blank(F.col("t"))).collect()] == [True, True, True, True, False, False, False]
