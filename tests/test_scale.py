@@ -107,3 +107,9 @@ def test_a_log_is_cut_once_and_a_field_read_once(spark):
 def test_blank_texts(spark):
     rows = spark.createDataFrame([(None,), ("",), (" \t",), ("\u2003\u00a0",), ("a",), (" \u00e9 ",), ("\u200b",)], "t string")
     assert [r[0] for r in rows.select(is_blank(F.col("t"))).collect()] == [True, True, True, True, False, False, False]
+
+
+def test_two_searches_parse_the_logs_once(spark):
+    """The two halves of a union each had the whole parse in them."""
+    plan = _plan(catalog.QUERIES["filter_events"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("Relation [") == 2 and "xml_map" not in plan and "props" not in plan
