@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from logsift.functions import xmlmap
 from logsift.functions.text import is_blank
+from logsift.operators.integrity import canonical_json
 from logsift.plans import catalog, derive
 from logsift.plans.pipeline import process_logs
 from logsift.session import checkpoint_root, new_folder
@@ -113,3 +114,11 @@ def test_two_searches_parse_the_logs_once(spark):
     """The two halves of a union each had the whole parse in them."""
     plan = _plan(catalog.QUERIES["filter_events"](spark, "/root/testdata/sf0.001"))
     assert plan.count("Relation [") == 2 and "xml_map" not in plan and "props" not in plan
+
+
+def test_hashed_maps_are_sorted_without_a_lambda(spark):
+    rows = spark.createDataFrame([("1", {"b": "2", "a": None, "ab": "1"}), ("2", {}), ("3", None)], "event_id string, extensions map<string,string>")
+    out = rows.select("event_id", canonical_json(rows).alias("j"))
+    assert "lambda" not in _plan(out)
+    assert [r.j for r in out.orderBy("event_id").collect()] == [
+        '{"event_id":"1","extensions":{"a":null,"ab":"1","b":"2"}}', '{"event_id":"2","extensions":{}}', '{"event_id":"3","extensions":null}']
