@@ -12,9 +12,11 @@ document's sorted shingles by binary search, and the overlap is exact.
    it only has to be the same everywhere; it is bounded to `max_frequent` values, the most frequent ones, and broadcast.
 3. Short lists are built in buckets of hashes. Tasks send packed numbers and name a node once. Lists up to `long` nodes
    give their pairs of fitting sizes, counted.
-4. Longer lists give no pairs. Their nodes are compared with one node of the list; what links is one component, and only
-   nodes outside the list's main component go on: in blocks, to all nodes of the main component and to each other, until no
-   link is new. So a group of near copies costs its size and not the square, and no link between components is lost.
+4. Longer lists give no pairs. Their nodes are compared with one node of the list; what links is one component. What is left
+   are the pairs of one list and two components. The entries of long lists that each pair shares are counted, in blocks of
+   nodes without their texts; pairs that fall short of T are dropped, as in 3. The node of the smaller component visits the
+   blocks of texts that hold such a partner, and only these partners are probed. So a group of near copies costs its size and
+   not the square, boilerplate that many documents share sends no text, and no link between components is lost.
 
 Shingles and sets are known by 64-bit hashes. Null and empty texts have no shingles and link with nothing; a text of fewer
 words than a shingle is one shingle. Rows of equal id with other texts are joined through their id only in that component_id
@@ -33,7 +35,7 @@ from pyspark.sql import types as T
 
 from logsift.llm.shared import bitmap, components, in_bitmap
 from logsift.llm.spans import mix, sequences, slices, span_hashes, text_bytes, word_spans
-from logsift.session import stored
+from logsift.session import discard, stored
 
 WORDS, PERCENT = 5, 75
 FREQUENT, MAX_FREQUENT, LONG = 32, 1 << 20, 64
@@ -245,45 +247,126 @@ def probe(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int =
     return rows.mapInArrow(run, "a long, b long")
 
 
-def probe_blocks(members: DataFrame, queries: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = 1024) -> DataFrame:
-    """Links (a, b) between each query and the members of its pool that are in another component.
+class _Members:
+    """Nodes of a block by the long lists they are in, for counting what a node shares with each of them."""
 
-    `members` is (pool, node, n, component), `queries` the same without n. Pools are dealt over blocks of about `block`
-    members and a million shingles; a query visits all blocks of its pool, and a component that it links to is not tried again.
+    def __init__(self, rows: list[tuple], percent: int) -> None:
+        self.n, self.size, self.component = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        self.percent = percent
+        lists = [r[3] for r in rows]
+        h, owner = np.concatenate(lists), np.repeat(np.arange(len(rows)), [len(x) for x in lists])
+        order = np.argsort(h, kind="stable")
+        h, self.owner = h[order], owner[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        self.h, self.cuts = h[first], np.append(first, len(h))
+
+    def partners(self, n: int, size: int, component: int, lists: np.ndarray) -> np.ndarray:
+        """The members of larger components that share a list with the node, and with all that was set aside may reach T."""
+        at = np.minimum(np.searchsorted(self.h, lists), len(self.h) - 1)
+        at = at[self.h[at] == lists].tolist()
+        if not at:
+            return np.zeros(0, np.int64)
+        shared = np.bincount(np.concatenate([self.owner[self.cuts[i]:self.cuts[i + 1]] for i in at]), minlength=len(self.n))
+        some = np.flatnonzero((shared > 0) & ((self.size > size) | ((self.size == size) & (self.component > component))))
+        m, p = self.n[some], self.percent
+        less, more = np.minimum(m, n), np.maximum(m, n)
+        reach = shared[some] + (more * p + 99) // 100 - 1 >= ((m + n) * p + 99 + p) // (100 + p)
+        return some[reach & (less * 100 >= more * p)]
+
+
+_NODE = ["node", "n", "size", "component", "lists"]
+
+
+def _rows(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
+    """The values of each row, lists as arrays."""
+    columns = [batch.column(c) for c in names]
+    return zip(*[(x.values.to_numpy() for x in c) if pa.types.is_list(c.type) else c.to_pylist() for c in columns])
+
+
+def candidate_blocks(nodes: DataFrame, percent: int = PERCENT, many: int = 8192) -> DataFrame:
+    """(node, block): the blocks of texts in which a node has a partner to be probed.
+
+    `nodes` is (node, n, size, component, lists, block). Counting needs no texts, so its blocks hold about `many` nodes, and each is
+    met by the nodes in shares of half as many.
+    """
+    count = nodes.count()
+    blocks, shares = -(-count // many) or 1, -(-2 * count // many) or 1
+    home, share = F.pmod(F.xxhash64("block", F.lit("home")), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("node", F.lit("share")), F.lit(shares)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    held = nodes.withColumn("role", F.lit(0)).withColumn("home", home).withColumn("share", every(shares))
+    asked = nodes.withColumn("role", F.lit(1)).withColumn("share", share).withColumn("home", every(blocks))
+    rows = held.unionByName(asked).repartition(2 * blocks * shares, "home", "share").sortWithinPartitions("home", "share", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, found = None, [], []
+        members = block = None
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["node", "block"])
+            found.clear()
+            return out
+
+        for batch in batches:
+            for *key, role, number, node, n, size, component, lists in _rows(batch, ["home", "share", "role", "block", *_NODE]):
+                if key != at:
+                    at, held, members, block = key, [], None, []
+                if not role:
+                    held.append((n, size, component, lists))
+                    block.append(number)
+                elif held:
+                    if members is None:
+                        members, block = _Members(held, percent), np.array(block, np.int64)
+                    found += [(node, b) for b in np.unique(block[members.partners(n, size, component, lists)]).tolist()]
+            yield flush()
+
+    return rows.mapInArrow(run, "node long, block long")
+
+
+def probe_blocks(nodes: DataFrame, asked: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT, many: int = 2048) -> DataFrame:
+    """Links (a, b) between components, found by probing each node of `asked` (node, block) with its partners in that block of `nodes`.
+
+    The nodes that visit a block come in shares of `many`. A component that a node links to is not tried again in a block.
     """
-    blocks = members.groupBy("pool").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / (1 << 20))).cast("int").alias("blocks"))
-    held = members.join(blocks, "pool").select("pool", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "node", "component")
-    asked = queries.join(blocks, "pool").select("pool", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "component")
-    rows = held.unionByName(asked).join(texts, "node").select("pool", "block", "role", "node", "component", "text")
-    rows = rows.repartition("pool", "block").sortWithinPartitions("pool", "block", "role")
+    visits = stored(asked.groupBy("block").agg(F.ceil(F.count("*") / many).cast("int").alias("shares")), "visits")
+    held = nodes.join(visits, "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumn("role", F.lit(0))
+    guests = asked.join(visits, "block").join(nodes.drop("block"), "node").withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")).withColumn("role", F.lit(1))
+    rows = held.unionByName(guests).join(texts, "node").select("block", "share", "role", *_NODE, "text")
+    # A number of tasks is named, as time goes with the pairs and not with the bytes that Spark would join partitions by.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "block", "share").sortWithinPartitions("block", "share", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sets, nodes, parts = None, [], [], []
-        joined = owner = sizes = part_of = None
+        at, held, sets, members = None, [], [], None
         for batch in slices(batches, "text"):
             found: list[tuple[int, int]] = []
-            columns = [batch.column(c).to_pylist() for c in ("pool", "block", "role", "node", "component")]
-            for pool, number, role, node, part, own in zip(*columns, shingle_sets(batch.column("text"), words)):
-                if (pool, number) != at:
-                    at, sets, nodes, parts, joined = (pool, number), [], [], [], None
+            for own, (*key, role, n, size, component, lists) in zip(shingle_sets(batch.column("text"), words), _rows(batch, ["block", "share", "role", *_NODE[1:]])):
+                if key != at:
+                    at, held, sets, members = key, [], [], None
                 if not role:
+                    held.append((n, size, component, lists))
                     sets.append(own)
-                    nodes.append(node)
-                    parts.append(part)
-                    continue
-                if not sets or not len(own):
-                    continue
-                if joined is None:
-                    sizes = np.array([len(x) for x in sets])
-                    joined, owner, part_of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), np.array(parts)
-                place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
-                both = np.bincount(owner, own[place] == joined, len(sets)).astype(np.int64)
-                close = np.flatnonzero((both * 100 >= percent * (sizes + len(own) - both)) & (part_of != part))
-                _, first = np.unique(part_of[close], return_index=True)
-                found += [(min(node, nodes[i]), max(node, nodes[i])) for i in close[first].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+                elif held:
+                    members = members or _Members(held, percent)
+                    found += [(component, c) for c in _linked(own, members, sets, members.partners(n, size, component, lists), percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _linked(own: np.ndarray, members: _Members, sets: list[np.ndarray], partners: np.ndarray, percent: int, step: int = 128) -> list[int]:
+    """The components of those partners that link; once one does, the others of its component are not probed."""
+    out: list[int] = []
+    while len(partners):
+        some, partners = partners[:step], partners[step:]
+        sizes = members.n[some]
+        joined = np.concatenate([sets[i] for i in some.tolist()])
+        place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+        both = np.bincount(np.repeat(np.arange(len(some)), sizes), own[place] == joined, len(some)).astype(np.int64)
+        close = np.unique(members.component[some[both * 100 >= percent * (sizes + len(own) - both)]])
+        if len(close):
+            out += close.tolist()
+            partners = partners[~np.isin(members.component[partners], close)]
+    return out
 
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT,
@@ -293,8 +376,9 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     buckets = max(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     described = stored(_describe(rows, words, percent, buckets), "shingles")
-    described_docs = described.where("bucket IS NULL").select("id", "text_hash", "node", "n")
     often = _frequent(described.where("bucket IS NOT NULL").select("bucket", "packed"), frequent, max_frequent)
+    described_docs = stored(described.where("bucket IS NULL").select("id", "text_hash", "node", "n"), "described")
+    discard(described)
     lists = stored(_lists(rows, words, percent, buckets, often, long), "lists")
 
     short = lists.where("c IS NOT NULL")
@@ -307,11 +391,13 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     first = loose.where(_may_reach(F.col("nx"), F.col("ny"), F.col("c") + more, percent)).select("x", "y")
     star = far.where((F.col("node") != F.col("head")) & _fits("n", "hn", percent)).select(F.least("node", "head").alias("x"), F.greatest("node", "head").alias("y"))
     first = stored(first.unionByName(star).distinct(), "pairs")
+    far = stored(far.groupBy("node", "n").agg(F.sort_array(F.collect_list("h")).alias("lists")), "far")
+    discard(counted, lists)
 
     # Texts of the nodes that may be probed: one per node.
-    wanted = first.select("x").unionByName(first.select(F.col("y").alias("x"))).unionByName(far.select(F.col("node").alias("x"))).distinct()
-    single = described_docs.groupBy("node").agg(F.min("text_hash").alias("text_hash")).join(wanted.withColumnRenamed("x", "node"), "node")
-    single = stored(single, "wanted")
+    ends = first.select("x").unionByName(first.select(F.col("y").alias("x"))).select(F.col("x").alias("node"), F.lit(False).alias("far"))
+    wanted = ends.unionByName(far.select("node", F.lit(True).alias("far"))).groupBy("node").agg(F.max("far").alias("far"))
+    single = stored(described_docs.groupBy("node").agg(F.min("text_hash").alias("text_hash")).join(wanted, "node"), "wanted")
     bits = spark.sparkContext.broadcast(bitmap(single, "text_hash"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,37 +411,30 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
             yield batch.filter(pa.array(keep))
 
     picked = rows.where(F.col("text").isNotNull()).select("text_hash", "text").mapInArrow(pick, "text_hash long, text string")
-    texts = stored(picked.join(single, "text_hash").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = stored(picked.join(single, "text_hash").groupBy("node").agg(F.first("text").alias("text"), F.first("far").alias("far")), "texts")
 
-    links = stored(probe(first, texts, words, percent), "links")
+    known = components(stored(probe(first, texts.drop("far"), words, percent), "links"))
+    discard(first, single)
+    joined = described_docs.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if not far.isEmpty():
-        far = stored(far.select("node", "n", "h"), "far")
-        while True:
-            known = components(links)
-            placed = stored(far.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-            per = placed.groupBy("h", "component").agg(F.count("*").alias("size"))
-            main = per.groupBy("h").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts"))
-            main = main.where("parts > 1").select("h", F.col("m.component").alias("main"))
-            outside = stored(placed.join(main, "h").where("component != main"), "outside")
-            if outside.isEmpty():
-                break
-            # Against the main components of their lists, and, list by list, against each other.
-            nodes = placed.select("node", "n", "component").distinct()
-            heads = outside.select(F.col("main").alias("pool")).distinct()
-            members = nodes.withColumn("pool", F.col("component")).join(heads, "pool").select("pool", "node", "n", "component")
-            queries = outside.select(F.col("main").alias("pool"), "node", "component").distinct()
-            list_id = F.xxhash64("h")
-            groups = components(outside.select(F.col("node").alias("a"), list_id.alias("b")))
-            rest = outside.select("node", "n", "component").distinct().join(groups.select("node", F.xxhash64("component", F.lit("rest")).alias("pool")), "node").select("pool", "node", "n", "component")
-            found = stored(probe_blocks(members.unionByName(rest), queries.unionByName(rest.drop("n")), texts, words, percent), "links")
-            if found.isEmpty():
-                break
-            links = stored(links.unionByName(found).distinct(), "links")
-
-    joined = described_docs.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # Pairs of one long list and two components. Both ends of such a pair are compared here once, so there is nothing left after it.
+        placed = stored(far.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+        sized = placed.join(placed.groupBy("component").agg(F.count("*").alias("size")), "component")
+        # A block of texts: nodes that begin with the same list, cut into blocks of about 1,024 nodes and a million shingles.
+        begins = F.col("lists")[0].alias("begin")
+        cut = placed.groupBy(begins).agg(F.greatest(F.ceil(F.count("*") / 1024), F.ceil(F.sum("n") / (1 << 20))).alias("blocks"))
+        block = F.xxhash64("begin", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        nodes = stored(sized.withColumn("begin", begins).join(cut, "begin").withColumn("block", block).select(*_NODE, "block"), "nodes")
+        asked = stored(candidate_blocks(nodes, percent), "asked")
+        found = stored(probe_blocks(nodes, asked, texts.where("far").drop("far"), words, percent), "links")
+        discard(placed, nodes, asked)
+        if not found.isEmpty():
+            merged = components(found).select(F.col("node").alias("component"), F.col("component").alias("__merged"))
+            joined = joined.join(merged, "component", "left").withColumn("component", F.coalesce("__merged", "component")).drop("__merged")
     joined = joined.withColumn("component", F.when(F.col("n") > 0, F.col("component")))
     # Both stored, so that Spark can split the join where one component has very many documents.
     joined = stored(joined, "joined")
+    discard(described_docs, texts, far)
     smallest = stored(joined.where("n > 0").groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
     answer = joined.join(smallest, "component", "left").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("n").alias("n_shingles"),
                                                               F.coalesce("component_id", "id").alias("component_id"))

@@ -1,5 +1,6 @@
 """Operators on texts against brute force, with nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
+import glob
 import hashlib
 import re
 from collections import Counter
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logsift.llm import byte_bpe, line_windows, shingle_join, spans, superkmers, toxic_cnn
 from logsift.llm.queries import tokenizer
+from logsift.session import checkpoint_root
 
 WORD = r"[^\x20\x09-\x0D]+"
 RNG = np.random.default_rng(3)
@@ -181,6 +183,37 @@ def test_jaccard_components_of_near_copies(spark, frequent, long):
     assert all_rows(got) == expected_components(rows)
 
 
+def test_boilerplate_sends_no_texts(spark, monkeypatch):
+    """Texts that share a sentence and are alike in nothing else were compared with each other, text by text."""
+    rng, same = np.random.default_rng(4), " ".join(f"s{i}" for i in range(9))
+    rows = [(i, same + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 40))) for i in range(60)]
+    alike = [f"v{x}" for x in range(60)]
+    rows += [(100 + i, " ".join([f"u{i}", *alike])) for i in range(5)]
+    visits, probe_blocks = [], shingle_join.probe_blocks
+    monkeypatch.setattr(shingle_join, "probe_blocks", lambda nodes, asked, *x: visits.extend(r.node for r in asked.collect()) or probe_blocks(nodes, asked, *x))
+    before = set(glob.glob(checkpoint_root(spark) + "/*"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert all_rows(shingle_join.jaccard_components(df, frequent=1000, long=2)) == expected_components(rows)
+    assert len(visits) <= 5
+    left = {f.rsplit("/", 1)[1].rsplit("-", 1)[0] for f in set(glob.glob(checkpoint_root(spark) + "/*")) - before}
+    assert not left & {"shingles", "lists", "texts", "described", "nodes"}
+
+
+@pytest.mark.parametrize("long", [2, 64])
+def test_jaccard_components_of_families(spark, long):
+    """Families of near copies around one sentence, each with copies that link only with some of the family."""
+    rng, rows, same = np.random.default_rng(9), [], [f"s{i}" for i in range(20)]
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for i in range(12):
+            text = list(base)
+            for j in rng.integers(0, 60, int(rng.integers(0, 5))):
+                text[j] = f"x{rng.integers(0, 3)}"
+            rows.append((len(rows), " ".join(same + text[:60 - i] + base[:family])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert all_rows(shingle_join.jaccard_components(df, frequent=1, long=long)) == expected_components(rows)
+
+
 def test_bpe_matches_the_library(docs):
     tiktoken = pytest.importorskip("tiktoken")
     bpe = tokenizer()

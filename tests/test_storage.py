@@ -1,12 +1,13 @@
 """Stored event tables: replacing by id, and point lookups that skip row groups."""
 
 import os
+import time
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
-from logsift.session import new_folder, stored
+from logsift.session import discard, new_folder, stored
 from logsift.sinks import tables
 from logsift.sinks.tables import replace_events, write_events
 from logsift.sources.tables import read_events
@@ -113,3 +114,18 @@ def test_lookups_skip_row_groups(spark):
     assert rows_read(events.where(F.col("event_id") == one).select("event_id", "severity")) < n / 4
     assert rows_read(events.where("source_ip = '10.0.0.77'").select("event_id", "source_ip")) < n / 4
     assert events.where(F.col("event_id") == one).count() == 1 and events.where("source_ip = '10.0.0.77'").count() == n // 200
+
+
+def test_what_a_stored_table_shuffled_is_removed(spark):
+    """Shuffle files stayed until the driver collected its garbage, and scratch tables for good."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in (disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size())) if f.startswith("shuffle_")}
+    before = shuffled()
+    table = stored(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "sums")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and table.count() == 10
+    discard(table)
+    assert not os.path.exists(table.scratch)
