@@ -1,5 +1,6 @@
 """The pipeline's stages, each against plain Python on its own input."""
 
+import glob
 import re
 from collections import Counter
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from logsift.llm.queries import tokenizer
 from logsift.llm.toxic_cnn import score, train
-from logsift.session import new_folder, stored
+from logsift.session import checkpoint_root, new_folder, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -157,3 +158,13 @@ def test_empty_table(spark):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_stages_read_by_the_next_are_removed(spark, table, stages):
+    """The tables of all stages stayed until the folder was cleared."""
+    there = set(glob.glob(checkpoint_root(spark) + "/*"))
+    got = corpus_pipeline.run(spark, table)
+    names = {name.replace(" ", "-") for name, _ in corpus_pipeline.STAGES}
+    left = {f.rsplit("/", 1)[1].rsplit("-", 1)[0] for f in set(glob.glob(checkpoint_root(spark) + "/*")) - there}
+    assert left & names == {"byte-level-BPE"}
+    assert rows_of(got, "doc_id", "n_tokens") == rows_of(stages["byte-level BPE"][1], "doc_id", "n_tokens")
